@@ -446,6 +446,7 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = anchor_rows(long_rows).join(once, (F.col("md5") == F.col("g_md5")) & F.col("id").eqNullSafe(F.col("rep"))).dropDuplicates(["md5", "id"])
     found = stored(found.select(F.monotonically_increasing_id().alias("no"), "md5", "id", "keys", "at"), "suffix-anchors")
     twice = found.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    twice = stored(twice, "suffix-keys")  # a side that is a plain exchange lets AQE split the key of a common passage
     left = found.select("no", F.explode(F.arrays_zip("keys", "at")).alias("x")).select("no", F.col("x.keys").alias("key"), F.col("x.at").alias("at"))
     left = left.join(twice, "key").groupBy("no").agg(F.array_sort(F.collect_list("at")).alias("at"))
     chosen = stored(found.select("no", "md5", "id").join(left, "no"), "suffix-chosen")
