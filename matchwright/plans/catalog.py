@@ -1,4 +1,370 @@
-"""The registered queries of the linkage operators, and their SQL."""
+"""The registered queries of the linkage operators over the projection of `documents`."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import text as tx
+from ..functions.similarity import char_similarity
+from ..operators import blocking as bl
+from ..operators import diagnostics as dg
+from ..operators import evaluate as ev
+from ..operators import features as ft
+from ..operators import model as md
+from ..operators import profile as pf
+from ..sources import tables as tb
+from ..sources.schema import PAIR
+from . import pipeline as pl
+from .oracles import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+
+
+def query(f):
+    """Registers a query; whole numbers become bigint and doubles are rounded to six places."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = f(spark, sf_dir)
+        cols = []
+        for c in df.schema:
+            if isinstance(c.dataType, T.DoubleType):
+                cols.append(F.round(F.col(c.name), 6).alias(c.name))
+            elif isinstance(c.dataType, T.IntegralType):
+                cols.append(F.col(c.name).cast("bigint").alias(c.name))
+            else:
+                cols.append(F.col(c.name))
+        return df.select(*cols)
+
+    run.__doc__, run.__name__ = f.__doc__, f.__name__
+    QUERIES[f.__name__] = run
+    return f
+
+
+def _parts(spark, d):
+    s1, s2, s3 = tb.sources(spark, d)
+    return bl.prepared(s1, "S1"), bl.stacked(s2, s3)
+
+
+def _candidates(spark, d, config=bl.FULL):
+    return bl.generate_candidates(*tb.sources(spark, d), config)[0]
+
+
+def _plain(spark, d):
+    s1, s2, s3 = tb.sources(spark, d)
+    return ft.resolved(_candidates(spark, d).select(*PAIR), *ft.records(s1, s2, s3), check=False).withColumns(ft.plain_features())
+
+
+def _token_similarity(a: Column, b: Column) -> Column:
+    return tx.jaccard(tx.tokens(a), tx.tokens(b), 1.0)
+
+
+def _injected(spark, d):
+    """Plain features with token Jaccard in place of character similarity."""
+    return _plain(spark, d).withColumns({f"{f}_char_similarity": F.col(f"{f}_token_jaccard") for f in ("name", "address")})
+
+
+def _predictions(spark, d):
+    """Model-free predictions: the mean of the two token Jaccards, with labels."""
+    labelled = ft.training_labels(_plain(spark, d), tb.projected_truth(spark, d))
+    return labelled.select(*PAIR, ((F.col("name_token_jaccard") + F.col("address_token_jaccard")) / 2).alias("match_probability"), F.col("label").cast("int").alias("ground_truth_label"))
+
+
+def _status(spark, d):
+    return ev.candidate_status(_candidates(spark, d), tb.projected_truth(spark, d))
+
+
+def _misses(spark, d):
+    """Misses of a run without similarity candidates, with token Jaccard as the similarity."""
+    exact = bl.BlockingConfig(name_k=0, address_k=0, target_window=None)
+    return dg.miss_analysis(ev.candidate_status(_candidates(spark, d, exact), tb.projected_truth(spark, d)), pl.all_records(*tb.sources(spark, d)), _token_similarity)
+
+
+def _norm(f, field, *mode):
+    def run(spark, d):
+        return tb.projection(spark, d).select("entity_id", f(F.col(field), *mode).alias("value"))
+
+    return run
+
+
+for _name, _run in {
+    "normalize_name": _norm(tx.normalized_name, "business_name"),
+    "normalize_address": _norm(tx.normalized_address, "business_address"),
+    "normalize_country": _norm(tx.normalized_country, "country"),
+    "normalize_scalar_mode": _norm(tx.normalized, "business_address", "scalar"),
+    "normalize_ascii": _norm(tx.ascii_value, "business_address"),
+}.items():
+    _run.__name__ = _name
+    query(_run)
+
+
+@query
+def preprocess_fields(spark, d):
+    df = tb.projection(spark, d).withColumns({"name": tx.normalized_name(F.col("business_name")), "address": tx.normalized_address(F.col("business_address")), "country_n": tx.normalized_country(F.col("country"))})
+    out = ["entity_id", F.col("name").alias("business_name_normalized"), F.col("address").alias("business_address_normalized"), F.col("country_n").alias("country_normalized")]
+    for f in ("name", "address"):
+        t = tx.tokens(F.col(f))
+        out += [F.array_join(t, "|").alias(f"{f}_tokens"), F.size(t).alias(f"{f}_token_count"), F.length(f).alias(f"{f}_length"), (F.col(f) != "").alias(f"has_{f}"), (F.col(f) == "").alias(f"missing_{f}")]
+    return df.select(*out)
+
+
+@query
+def exact_name_candidates(spark, d):
+    return bl.exact_candidates(*_parts(spark, d), "name")
+
+
+@query
+def exact_address_candidates(spark, d):
+    return bl.exact_candidates(*_parts(spark, d), "address")
+
+
+@query
+def exact_block_cap(spark, d):
+    return bl.exact_candidates(*_parts(spark, d), "name", max_block=1)
+
+
+@query
+def name_similarity_topk(spark, d):
+    return bl.similarity_topk(*_parts(spark, d), "name", 10)
+
+
+@query
+def address_similarity_topk(spark, d):
+    return bl.similarity_topk(*_parts(spark, d), "address", 10)
+
+
+@query
+def bounded_similarity(spark, d):
+    return bl.similarity_topk(*_parts(spark, d), "name", 10, bl.BlockingConfig(target_window=100))
+
+
+@query
+def topk_growth(spark, d):
+    near = bl.similarity_topk(*_parts(spark, d), "name", 5)
+    far = bl.similarity_topk(*_parts(spark, d), "name", 10)
+    return near.agg(F.count("*").alias("pairs_k5")).crossJoin(far.agg(F.count("*").alias("pairs_k10")))
+
+
+@query
+def gram_intersection(spark, d):
+    """Sorted common trigrams of each record's name and address."""
+    df = bl.prepared(tb.projection(spark, d), "records")
+    return df.select("entity_id", F.array_join(F.array_sort(F.array_intersect(tx.grams(F.col("name")), tx.grams(F.col("address")))), "|").alias("common"))
+
+
+@query
+def combined_candidates(spark, d):
+    return _candidates(spark, d)
+
+
+@query
+def block_stats(spark, d):
+    return bl.generate_candidates(*tb.sources(spark, d), bl.FULL)[1]
+
+
+@query
+def candidate_lists(spark, d):
+    out = bl.candidate_lists(_candidates(spark, d))
+    return out.select("source1_entity_id", F.array_join("candidate_entity_ids", ",").alias("candidate_entity_ids"))
+
+
+@query
+def candidate_recall(spark, d):
+    return ev.candidate_recall(_candidates(spark, d), tb.projected_truth(spark, d))
+
+
+@query
+def candidate_status(spark, d):
+    return _status(spark, d)
+
+
+@query
+def recall_by_s1_counts(spark, d):
+    truth = tb.projected_truth(spark, d)
+    return ev.recall_stats(_candidates(spark, d), truth, truth)
+
+
+@query
+def pair_features(spark, d):
+    return _plain(spark, d).select(*PAIR, *ft.plain_features())
+
+
+@query
+def tfidf_similarity(spark, d):
+    s1, s2, s3 = tb.sources(spark, d)
+    pairs = bl.exact_candidates(*_parts(spark, d), "address").unionByName(bl.similarity_topk(*_parts(spark, d), "name", 2).select(*PAIR)).distinct()
+    return ft.tfidf(ft.resolved(pairs, *ft.records(s1, s2, s3), check=False)).select(*PAIR, "name_tfidf_similarity")
+
+
+@query
+def training_labels(spark, d):
+    return ft.training_labels(_candidates(spark, d).select(*PAIR), tb.projected_truth(spark, d))
+
+
+@query
+def entity_metrics(spark, d):
+    out = ev.entity_metrics(_predictions(spark, d), tb.projected_truth(spark, d), 0.5)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("true_ids", "predicted_ids")})
+
+
+@query
+def macro_metrics(spark, d):
+    return ev.evaluate_predictions(_predictions(spark, d), tb.projected_truth(spark, d), 0.5)
+
+
+@query
+def persisted_metrics(spark, d):
+    return ev.threshold_sweep(_predictions(spark, d), [0.5])
+
+
+@query
+def threshold_sweep(spark, d):
+    return ev.threshold_sweep(_predictions(spark, d))
+
+
+@query
+def selected_threshold(spark, d):
+    return ev.best_thresholds(ev.threshold_sweep(_predictions(spark, d))).select("selected_threshold", "tied")
+
+
+@query
+def artifact_scope(spark, d):
+    return ev.artifact_scope(_predictions(spark, d), tb.projected_truth(spark, d))
+
+
+@query
+def error_rows(spark, d):
+    return dg.error_rows(_predictions(spark, d), _injected(spark, d), check=False).drop("name_tfidf_similarity")
+
+
+@query
+def error_summary(spark, d):
+    return dg.error_summary(dg.error_rows(_predictions(spark, d), _injected(spark, d), check=False))
+
+
+@query
+def recall_analysis(spark, d):
+    out = dg.recall_analysis(_predictions(spark, d), tb.projected_truth(spark, d), _injected(spark, d).select(*PAIR, "name_exact_match", "shared_name_token_count", "address_exact_match", "country_exact_match"), pl.all_records(*tb.sources(spark, d)))
+    json = lambda c, k: F.get_json_object(c, f"$.{k}")
+    n = "name_similarity_features"
+    return out.select("source1_entity_id", "true_entity_id", "true_source", "candidate_status", "match_probability", json(n, "name_exact_match").alias("name_exact_match"), json(n, "name_exact").alias("name_exact"), json(n, "normalized_name_s1").alias("normalized_name_s1"), json("country_features", "country_s1").alias("country_s1"))
+
+
+@query
+def recall_summary(spark, d):
+    s = _status(spark, d).join(_predictions(spark, d).select("source1_entity_id", F.col("candidate_entity_id").alias("true_entity_id"), "match_probability"), ["source1_entity_id", "true_entity_id"], "left")
+    return dg.recall_summary(s)
+
+
+@query
+def miss_categories(spark, d):
+    return _misses(spark, d)
+
+
+@query
+def failed_strategy_counts(spark, d):
+    return dg.failed_strategies(_misses(spark, d))
+
+
+@query
+def digit_similarity(spark, d):
+    s1, s2, s3 = tb.sources(spark, d)
+    pairs = ft.resolved(bl.exact_candidates(*_parts(spark, d), "name"), *ft.records(s1, s2, s3), check=False)
+    return pairs.select(*PAIR, dg.digit_similarity(F.col("address_1"), F.col("address_2")).alias("digit_similarity"))
+
+
+@query
+def miss_recovery(spark, d):
+    return dg.miss_recovery(_misses(spark, d), _candidates(spark, d, bl.BlockingConfig(name_k=2, address_k=2, target_window=None)))
+
+
+@query
+def run_comparison(spark, d):
+    truth = tb.projected_truth(spark, d)
+    few, many = (ev.recall_stats(_candidates(spark, d, bl.BlockingConfig(name_k=k, address_k=k, target_window=None)), truth, truth) for k in (2, 4))
+    return dg.comparison(dg.stats_table(few), dg.stats_table(many))
+
+
+@query
+def truth_distribution(spark, d):
+    return pf.truth_distribution(tb.projected_truth(spark, d))
+
+
+@query
+def truth_profile(spark, d):
+    return pf.truth_profile(tb.projected_truth(spark, d))
+
+
+@query
+def source_profile(spark, d):
+    df = tb.projection(spark, d).withColumn("source", F.substring("entity_id", 1, 2))
+    return pf.source_profile(df, "S", "source")
+
+
+@query
+def length_stats(spark, d):
+    return pf.length_stats(tb.projection(spark, d).withColumn("source", F.substring("entity_id", 1, 2)), "business_address", "source")
+
+
+@query
+def country_overlap(spark, d):
+    return pf.country_overlap({f"S{k}": s for k, s in enumerate(tb.sources(spark, d), 1)})
+
+
+@query
+def match_coverage(spark, d):
+    return pf.match_coverage(tb.projected_truth(spark, d))
+
+
+@query
+def noise_examples(spark, d):
+    return pf.noise_examples(tb.projected_truth(spark, d), pl.all_records(*tb.sources(spark, d)))
+
+
+@query
+def id_prefix_check(spark, d):
+    s1, s2, s3 = tb.sources(spark, d)
+    return pf.prefix_violations({"S1": (s1, "S1-"), "S2": (s2, "S2-"), "swapped": (s3, "S2-")})
+
+
+@query
+def diagnostic_target(spark, d):
+    s1, s2, _ = tb.sources(spark, d)
+    return tb.diagnostic_target(s2, s1.where("doc_id < 30"), 5, "doc_id", rows=150).select("entity_id")
+
+
+@query
+def records_by_ids(spark, d):
+    ids = tb.projected_truth(spark, d).where("matched_entity_ids <> ''").select(F.col("source1_entity_id").alias("entity_id"))
+    return tb.records_by_ids(pl.all_records(*tb.sources(spark, d)), ids)
+
+
+@query
+def char_similarity_pairs(spark, d):
+    s1, s2, s3 = tb.sources(spark, d)
+    pairs = ft.resolved(bl.exact_candidates(*_parts(spark, d), "name"), *ft.records(s1, s2, s3), check=False)
+    return pairs.select(*PAIR, char_similarity(F.col("address_1"), F.col("address_2")).alias("address_char_similarity"))
+
+
+@query
+def feature_flags(spark, d):
+    return ft.pair_features(_candidates(spark, d), *tb.sources(spark, d), include_tfidf=False, check=False)
+
+
+@query
+def group_split(spark, d):
+    train, held = md.group_split(ft.training_labels(_candidates(spark, d).select(*PAIR), tb.projected_truth(spark, d)))
+    side = lambda df, n: df.agg(F.lit(n).alias("side"), F.count("*").alias("pairs"), F.count_distinct("source1_entity_id").alias("entities"))
+    return side(train, "training").unionByName(side(held, "validation"))
+
+
+@query
+def forest_scores(spark, d):
+    labelled = ft.training_labels(_plain(spark, d).select(*PAIR, *ft.plain_features()), tb.projected_truth(spark, d))
+    return md.predictions_artifact(md.train_baseline(labelled, trees=20, depth=6).validation)
+
+
+@query
+def sample_evaluation(spark, d):
+    return pl.sample_evaluation(*tb.sources(spark, d), n=50)
