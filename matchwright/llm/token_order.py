@@ -103,18 +103,16 @@ class Tokens:
 
 
 def pressed(ids: np.ndarray) -> bytes:
-    """Rows of 16-bit ids, compressed: low bytes, then high bytes."""
+    """Rows of 16-bit ids, compressed as they stand: common words repeat whole runs of ids."""
     import zstandard
 
-    raw = ids.astype("<u2").view(np.uint8).reshape(-1, 2)
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(raw.T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(ids.astype("<u2").tobytes())
 
 
 def unpressed(blob: bytes, length: int) -> np.ndarray:
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(2, -1)
-    return np.ascontiguousarray(raw.T).view("<u2").reshape(-1, length)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u2").reshape(-1, length)
 
 
 def packed(docs: DataFrame, ranks: dict[bytes, int], length: int = LENGTH, text_col: str = "text") -> DataFrame:
@@ -163,6 +161,7 @@ def write_shards(docs: DataFrame, path: str, ranks: dict[bytes, int], length: in
     sizes = packs.groupBy("part").agg(F.sum("n").alias("own"))  # a row for each input partition
     everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sizes = sizes.select("part", (F.sum("own").over(everything.rowsBetween(Window.unboundedPreceding, 0)) - F.col("own")).alias("base"), F.sum("own").over(everything).alias("total"))
+    sizes = stored(sizes, "token-parts")  # of known size, so that Spark broadcasts it if small and need not shuffle the packs first
     placed = packs.join(sizes, "part").select((F.col("base") + F.col("first")).alias("first"), "total", "ids")
 
     def deal(batches):
