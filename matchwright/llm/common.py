@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch to Python workers.  Texts can be long, so fewer than Spark's 10,000.
@@ -45,6 +45,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def first_of_class(ids: DataFrame, class_col: str, limit: int, name: str) -> DataFrame:
+    """Of each class of `ids` (_id, class, _key), the `limit` rows that come first by (_key, _id); keys are hashes.
+
+    Row counts of the classes tell how low a key must be for about eight times `limit` rows, so only those reach the
+    task that ranks a class, at any size of the input.  The bound is raised until no class falls short (ids that repeat
+    can leave gaps), so the rows are exactly the first ones.  The counts are one row a class, as the trained models
+    are, and are broadcast for that reason.
+    """
+    sizes = stored(ids.groupBy(class_col).agg(F.count("*").alias("_size")), f"{name}-sizes")
+    place = F.col("_key").cast("double") / 2.0**64 + 0.5
+    wide = 8.0
+    while True:
+        low = stored(ids.join(F.broadcast(sizes), class_col).where(place * F.col("_size") <= wide * limit).drop("_size"), f"{name}-low")
+        got = low.groupBy(class_col).agg(F.count("*").alias("_got"))
+        if sizes.join(got, class_col, "left").where(F.coalesce("_got", F.lit(0)) < F.least("_size", F.lit(limit))).isEmpty():
+            break
+        wide *= 64
+    ranked = low.withColumn("_n", F.row_number().over(Window.partitionBy(class_col).orderBy("_key", "_id")))
+    return stored(ranked.where(F.col("_n") <= limit).drop("_n").distinct(), name)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (a, b), two bigint columns without nulls: (node, root), root the least node.
 

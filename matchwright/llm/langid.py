@@ -14,11 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import first_of_class, table
 from .textbytes import pieces, text_buffer
 
 #: Buckets per subword length (a power of two); the last bucket of the table is for positions without a subword.
@@ -123,12 +123,15 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], accept: float) -> Model:
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, accept: float = 0.995, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Model of the languages of `docs` (rows with null text, language or id are not used), from `per_lang` rows each at most."""
+    """Model of the languages of `docs` (rows with null text, language or id are not used), from `per_lang` rows each at most.
+
+    Rows of one id count as one in a language, with the least of their texts.
+    """
     key = F.xxhash64(F.col(id_col).cast("string"))
     ids = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), key.alias("_key"))
-    ids = ids.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_key", "_id"))).where(F.col("_n") <= per_lang).drop("_n")
-    ids = stored(ids, "langid-sample")
+    ids = first_of_class(ids, "_lang", per_lang, "langid-sample")
     sample = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(ids, "_id")
+    sample = sample.groupBy("_key", "_lang", "_id").agg(F.min("_text").alias("_text"))
 
     def run(batches):
         for batch in batches:

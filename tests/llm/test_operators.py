@@ -89,6 +89,24 @@ def test_components_of_a_chain(spark):
     assert common.components(edges.limit(0)).count() == 0
 
 
+def test_first_of_class_is_exact(spark):
+    key = lambda i: xxhash.xxh64_intdigest(str(i)) - (1 << 63)
+    rows = [(i, "hot" if i % 10 else f"rare{i % 3}", key(i)) for i in range(3000)] + [(7, "hot", key(7))] * 50 + [(5000, "clump", key(5000))] * 400
+    rows += [(6000 + i, "ties", 4) for i in range(100)]
+    got = sorted(tuple(r) for r in common.first_of_class(spark.createDataFrame(rows, "_id long, _class string, _key long"), "_class", 20, "test").select("_id", "_class", "_key").collect())
+    expected = set()
+    for c in {r[1] for r in rows}:
+        expected |= set(sorted((r for r in rows if r[1] == c), key=lambda r: (r[2], r[0]))[:20])
+    assert got == sorted(expected)
+    assert common.first_of_class(spark.createDataFrame([], "_id long, _class string, _key long"), "_class", 20, "test").isEmpty()
+
+
+def test_repeated_training_rows_count_once(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en")] * 300 + [(2, "der hund und die katze", "de"), (3, None, "de"), (4, "le chat", None), (None, "x", "en")], "doc_id long, text string, lang string")
+    got = {(r.doc_id, r.lang_pred) for r in langid.predictions(docs, langid.train(docs)).where("doc_id <= 2").collect()}
+    assert got == {(1, "en"), (2, "de")}
+
+
 def test_deduplicated_keeps_one_row(docs):
     kept = simhash.deduplicated(docs).collect()
     ids = [r.doc_id for r in kept]
