@@ -14,11 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import first_of_class, table
 from .textbytes import byte_values, hash_of, mix, pieces, prefix_hash, spans, sums, text_buffer, word_table
 
 FEATURES = ("bias", "log_words", "word_length", "symbols", "capitals", "exclamations", "echoes", "repeats", "twin_line", "digits", "sentence_end", "short")
@@ -187,11 +187,12 @@ def prior() -> Field:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
-    """The field learned from labelled documents (null ids, labels and texts are left out; an id labelled twice counts as its least label)."""
+    """The field learned from labelled documents (null ids, labels and texts are left out; an id labelled twice counts as its least label, one with several texts as the least text)."""
     key = F.xxhash64(F.col("_id").cast("string"))
     ids = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)").groupBy("_id").agg(F.min("_label").alias("_label"))
-    ids = ids.withColumn("_key", key).withColumn("_n", F.row_number().over(Window.partitionBy("_label").orderBy("_key", "_id"))).where(F.col("_n") <= per_class).drop("_n")
-    sample = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(stored(ids, "crf-sample"), "_id")
+    ids = first_of_class(ids.withColumn("_key", key), "_label", per_class, "crf-sample")
+    sample = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(ids, "_id")
+    sample = sample.groupBy("_key", "_label", "_id").agg(F.min("_text").alias("_text"))
 
     def run(batches):
         for batch in batches:
