@@ -6,8 +6,9 @@ the sum over its leaves, so only what no sibling can take moves up to the siblin
 saturated children, in order of capacity per weight, comes from running sums; all arithmetic is on integers.
 
 A leaf takes full epochs of its documents and, of one epoch more, a prefix of tokens in the order of a seeded hash.  The
-cut of that prefix is found in two steps, token sums of 4,096 hash buckets and then the one bucket that holds the cut, so
-a leaf with a third of all rows is never sorted in one task; the documents are then chosen by comparing with the cut.
+cut of that prefix is found in steps: token sums of 256 hash buckets, then of 256 parts of the one bucket that holds the
+cut, and once more, so that a leaf with a third of all rows leaves one document in 16 million to be sorted in one task;
+the documents are then chosen by comparing with the cut.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ WEIGHTS = {
 }
 LEVELS = ["domain", "lang", "source"]
 SEED = 20
+#: Hex digits of the hash that the steps towards a leaf's cut look at.
+DIGITS = (2, 4, 6)
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -80,13 +83,15 @@ def allocate(leaves: DataFrame, budget: int | None, share: float, max_epochs: in
 def cuts(rows: DataFrame, leaves: DataFrame, seed: int, id_col: str) -> DataFrame:
     """Leaves with `full`, their whole epochs, and `cut`, the last key of the epoch after those that is taken."""
     leaves = leaves.select(*LEVELS, "tokens", "budget", F.expr("if(tokens > 0, budget div tokens, 0)").alias("full")).withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens"))
-    keyed = rows.join(leaves.where("rest > 0").select(*LEVELS, "full", "rest"), LEVELS).withColumn("key", order_key(F.col("full") + 1, seed, id_col))
-    keyed = keyed.withColumn("bucket", F.substring("key", 1, 3))
-    run = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sums = keyed.groupBy(*LEVELS, "bucket", "rest").agg(F.sum("n_tokens").alias("own")).withColumn("upto", F.sum("own").over(run))
-    edge = sums.where("upto > rest and upto - own <= rest and own > 0").select(*LEVELS, "bucket", (F.col("rest") - F.col("upto") + F.col("own")).alias("room"))
-    edge = edge.groupBy(*LEVELS).agg(F.min_by(F.struct("bucket", "room"), "bucket").alias("e")).select(*LEVELS, "e.*")
-    inner = keyed.join(edge, [*LEVELS, "bucket"]).groupBy(*LEVELS, "bucket", "room", "key").agg(F.sum("n_tokens").alias("own"))
+    near = rows.join(leaves.where("rest > 0").select(*LEVELS, "full", F.col("rest").alias("room")), LEVELS)
+    near = near.select(*LEVELS, "n_tokens", "room", order_key(F.col("full") + 1, seed, id_col).alias("key"))
+    for digits in DIGITS:
+        near = near.withColumn("bucket", F.substring("key", 1, digits))
+        run = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        sums = near.groupBy(*LEVELS, "bucket", "room").agg(F.sum("n_tokens").alias("own")).withColumn("upto", F.sum("own").over(run))
+        edge = sums.where("upto > room and upto - own <= room and own > 0").select(*LEVELS, "bucket", (F.col("room") - F.col("upto") + F.col("own")).alias("room"))
+        near = stored(near.drop("room").join(edge, [*LEVELS, "bucket"]), "mixing-edge")
+    inner = near.groupBy(*LEVELS, "bucket", "room", "key").agg(F.sum("n_tokens").alias("own"))
     inner = inner.withColumn("upto", F.sum("own").over(Window.partitionBy(*LEVELS).orderBy("key").rowsBetween(Window.unboundedPreceding, 0)))
     cut = inner.groupBy(*LEVELS, "bucket").agg(F.max(F.when(F.col("upto") <= F.col("room"), F.col("key"))).alias("last")).select(*LEVELS, F.coalesce("last", "bucket").alias("cut"))
     return leaves.join(cut, LEVELS, "left").select(*LEVELS, "tokens", "budget", "full", "cut")
