@@ -17,21 +17,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import components, stored, table
-from .textbytes import lower_table, pieces, spans, text_buffer, word_table, xxh64
+from .textbytes import lower_table, mix, pieces, spans, text_buffer, word_table, xxh64
 
 #: Node pairs that a step of the trie walk expands at once.
 WALK = 1 << 17
+#: Bands of least hashes and hashes of a band, for links by similarity; texts of a bucket up to which all pairs are compared.
+BANDS, BAND_ROWS, SMALL = 25, 5, 16
 
 
-def simhashes(buf: np.ndarray, offs: np.ndarray, shingle: int, seed: int) -> np.ndarray:
-    """Fingerprints of the texts buf[offs[i]:offs[i+1]]; zero for a text without a word."""
-    n = len(offs) - 1
-    out = np.zeros(n, np.uint64)
+def shingle_hashes(buf: np.ndarray, offs: np.ndarray, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of the shingles of the texts buf[offs[i]:offs[i+1]], text by text, and how many each text has."""
     sep = word_table()
     low = lower_table()[buf]
     starts, ends, first = spans(low, offs, sep)
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(len(offs) - 1, np.int64)
     lens = ends - starts
     at = np.concatenate([[0], np.cumsum(lens + 1)])  # each word and one space
     joined = np.full(at[-1], 32, np.uint8)
@@ -40,11 +40,18 @@ def simhashes(buf: np.ndarray, offs: np.ndarray, shingle: int, seed: int) -> np.
     per = np.where(counts >= shingle, counts - shingle + 1, np.minimum(counts, 1))
     begin = np.repeat(first[:-1], per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
     end = np.minimum(begin + shingle, np.repeat(first[1:], per))
-    h = xxh64(joined, at[begin], at[end] - 1 - at[begin], seed)
-    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return xxh64(joined, at[begin], at[end] - 1 - at[begin], seed), per
+
+
+def simhashes(buf: np.ndarray, offs: np.ndarray, shingle: int, seed: int) -> np.ndarray:
+    """Fingerprints of the texts buf[offs[i]:offs[i+1]]; zero for a text without a word."""
+    out = np.zeros(len(offs) - 1, np.uint64)
+    h, per = shingle_hashes(buf, offs, shingle, seed)
     full = np.flatnonzero(per)
-    ones = np.add.reduceat(bits, (np.cumsum(per) - per)[full], axis=0, dtype=np.int64)
-    out[full] = np.packbits(ones * 2 > per[full][:, None], axis=1, bitorder="little").reshape(-1).view("<u8")
+    if len(full):
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, (np.cumsum(per) - per)[full], axis=0, dtype=np.int64)
+        out[full] = np.packbits(ones * 2 > per[full][:, None], axis=1, bitorder="little").reshape(-1).view("<u8")
     return out
 
 
@@ -164,15 +171,82 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, seed: in
     return prints.join(classes, "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each group: the row of the least id.
+def band_keys(h: np.ndarray, per: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+    """Keys of the bands of each text with shingles (one row a text): the least of its hashes under `rows` orders a band."""
+    first = (np.cumsum(per) - per)[per > 0]
+    rng = np.random.default_rng(2)
+    out = np.empty((len(first), bands), np.uint64)
+    for k in range(bands):
+        key = np.full(len(first), k, np.uint64)
+        for add, times in rng.integers(0, 1 << 63, (rows, 2), dtype=np.uint64):
+            key = mix(key ^ np.minimum.reduceat((h ^ add) * (times | np.uint64(1)), first))
+        out[:, k] = key
+    return out
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Edges (a, b) between ids of `docs` whose sets of shingles have a Jaccard similarity of `similarity` or more.
+
+    Two texts that are 0.8 similar in shingles differ in about ten bits of 64, too many for a trie to prune, so these
+    links come from bands of least hashes; a pair of 0.8 shares one of the 25 bands with probability 0.9999.  In a band's
+    bucket of up to `SMALL` texts all pairs are compared, in a larger one each text with one centre that changes from
+    band to band.  Every edge is checked by the exact similarity of the whole texts.  In the larger buckets a link
+    between two texts that never have the other as centre can be missed unless others connect them.  Texts without a
+    word and rows with a null id have no edges; ids are integers, one row each.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null")
 
-    Rows with a null id cannot be named and stay; rows that repeat an id come back once.
+    def keys(batches):
+        for batch in batches:
+            buf, offs = text_buffer(batch.column(1))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b in pieces(offs):
+                h, per = shingle_hashes(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], shingle, seed)
+                if len(h):
+                    got = band_keys(h, per)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b][per > 0], got.shape[1])), pa.array(got.reshape(-1).view(np.int64))], ["id", "bucket"])
+
+    banded = stored(rows.mapInArrow(keys, "id long, bucket long"), "bands")
+    centre = F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id"))["id"]
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), centre.alias("centre")).where("n > 1")
+    met = stored(banded.join(shared, "bucket"), "buckets")
+    few = met.where(F.col("n") <= SMALL).select("bucket", "id")
+    pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "bucket").where("a < b").select("a", "b")
+    stars = met.where((F.col("n") > SMALL) & (F.col("id") != F.col("centre"))).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+    pairs = stored(pairs.unionByName(stars).distinct(), "pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = stored(rows.join(named, "id", "left_semi"), "paired-texts")
+
+    def checked(batches):
+        for batch in batches:
+            sides = []
+            for column in (batch.column(2), batch.column(3)):
+                buf, offs = text_buffer(column)
+                h, per = shingle_hashes(buf, offs, shingle, seed)
+                sides.append((h, np.concatenate([[0], np.cumsum(per)])))
+            (x, xs), (y, ys) = sides
+            ok = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                one, two = np.unique(x[xs[i] : xs[i + 1]]), np.unique(y[ys[i] : ys[i + 1]])
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                ok[i] = both >= similarity * (len(one) + len(two) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], ["a", "b"])
+
+    sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    return sides.select("a", "b", "text_a", "text_b").mapInArrow(checked, "a long, b long")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, budget: int = 3, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each group, the row of the least id: first of fingerprints within `budget` bits, then,
+    among the rows left, of texts of `similarity` or more.
+
+    Ids are integers.  Rows with a null id cannot be named and stay; rows that repeat an id come back once.
     """
     classes = near_duplicates(docs, shingle, budget, id_col=id_col, text_col=text_col)
     kept = classes.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(kept, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    named = stored(docs.join(kept, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]), "firsts")
+    more = components(similar(named, similarity, shingle, id_col=id_col, text_col=text_col)).where("node <> root").select(F.col("node").alias(id_col))
+    return named.join(more, id_col, "left_anti").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,6 +113,26 @@ def test_deduplicated_keeps_one_row(docs):
     assert len(ids) == len(set(ids)) and {8, 7, None} <= set(ids) and 9 not in ids and set(kept[0].asDict()) == set(docs.columns)
 
 
+def test_similar_edges_match_brute_force(spark):
+    rng = random.Random(9)
+    rows, n = [(0, None), (1, ""), (2, " "), (None, "x y")], 3
+    for size in (3, 40, 200, 200, 300):
+        base = words(rng, size).split()
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(size)] = words(rng, 1, "xyz")
+            rows.append((n := n + 1, " ".join(w).upper()))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} if t and t.strip() else set() for i, t in rows if i is not None}
+    want = {(i, j) for i, j in itertools.combinations(sorted(sets), 2) if sets[i] & sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.a, r.b) for r in simhash.similar(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    assert simhash.similar(docs.limit(0)).count() == 0
+    kept = {r.doc_id for r in simhash.deduplicated(docs).collect()}
+    assert None in kept and not any(i in kept and j in kept for i, j in want)
+
+
 def test_base_counts(docs, rows):
     got = line_crf.quality(docs, line_crf.prior()).collect()
     want = Counter()
