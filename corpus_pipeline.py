@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each SimHash group of five-word shingles (operator 2)."""
-    return deduplicated(docs, shingle=5)
+    """One row of each group of five-word shingles: SimHash within three bits, then a similarity of 0.8 (operator 2)."""
+    return deduplicated(docs, shingle=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
