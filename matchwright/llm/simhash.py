@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,8 +21,10 @@ from .textbytes import lower_table, mix, pieces, spans, text_buffer, word_table,
 
 #: Node pairs that a step of the trie walk expands at once.
 WALK = 1 << 17
-#: Bands of least hashes and hashes of a band, for links by similarity; texts of a bucket up to which all pairs are compared.
+#: Bands of least hashes and hashes of a band, for links by similarity; texts of a bucket up to which its pairs are listed.
 BANDS, BAND_ROWS, SMALL = 25, 5, 16
+#: Texts that a task compares at once, where a bucket has more than `SMALL`.
+BLOCK = 256
 
 
 def shingle_hashes(buf: np.ndarray, offs: np.ndarray, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,43 +186,123 @@ def band_keys(h: np.ndarray, per: np.ndarray, bands: int = BANDS, rows: int = BA
     return out
 
 
-def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Edges (a, b) between ids of `docs` whose sets of shingles have a Jaccard similarity of `similarity` or more.
+def spanning_links(ids: np.ndarray, labels: np.ndarray, h: np.ndarray, per: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of edges that unite what pairs of `similarity` or more unite, if texts of equal label are united already.
+
+    One text after another is held against all texts of other components that have not had their turn, those with the
+    most edges first: a text that links many others settles them early.  Only pairs within a component are left out.
+    """
+    n = len(ids)
+    words, code = np.unique(h, return_inverse=True)
+    both = np.unique(np.repeat(np.arange(n), per) * len(words) + code)
+    text, code = np.divmod(both, max(1, len(words)))
+    size = np.bincount(text, minlength=n)
+    first = np.searchsorted(text, np.arange(n))
+    comp = np.unique(labels, return_inverse=True)[1]
+    waits, degree, mark = size > 0, np.zeros(n, np.int64), np.zeros(len(words), bool)
+    a, b = [], []
+    while waits.any() and (comp[waits] != comp[np.argmax(waits)]).any():
+        c = np.argmax(np.where(waits, degree, -1))
+        waits[c] = False
+        other = np.flatnonzero(waits & (comp != comp[c]) & (np.minimum(size, size[c]) >= similarity * np.maximum(size, size[c])))
+        if not len(other):
+            continue
+        own = code[first[c] : first[c] + size[c]]
+        mark[own] = True
+        at = np.cumsum(size[other]) - size[other]
+        place = np.arange(size[other].sum()) + np.repeat(first[other] - at, size[other])
+        shared = np.add.reduceat(mark[code[place]], at, dtype=np.int64)
+        mark[own] = False
+        hit = other[shared >= similarity * (size[other] + size[c] - shared)]
+        degree[hit] += 1
+        degree[c] += len(hit)
+        comp[np.isin(comp, comp[hit])] = comp[c]
+        a.append(np.minimum(ids[hit], ids[c]))
+        b.append(np.maximum(ids[hit], ids[c]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def links_in_blocks(blocks: DataFrame, texts: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
+    """Edges (a, b) of `spanning_links` in each block (bucket, block) of `blocks` (bucket, block, id, label)."""
+
+    def run(batches):
+        def edges(rows):
+            buf, offs = text_buffer(rows.column(4))
+            got = [shingle_hashes(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], shingle, seed) for a, b in pieces(offs)]
+            h, per = (np.concatenate(x) for x in zip(*got, strict=True))
+            ends = spanning_links(rows.column(2).to_numpy(), rows.column(3).to_numpy(), h, per, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b"])
+
+        held, last = [], None
+        for batch in batches:
+            bucket, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(bucket) != 0) | (np.diff(block) != 0)) + 1).tolist(), len(bucket)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if held and (bucket[i], block[i]) != last:
+                    yield edges(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                held.append(batch.slice(i, j - i))
+                last = (bucket[i], block[i])
+        if held:
+            yield edges(pa.Table.from_batches(held).combine_chunks())
+
+    rows = blocks.join(texts, "id").select("bucket", "block", "id", "label", "text")
+    return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(run, "a long, b long")
+
+
+def relabelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """`rows` (bucket, id, label, ..., n) with the labels that the edges (label_a, label_b) leave, of buckets that still have several."""
+    found = components(edges.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).select(F.col("node").alias("label"), "root")
+    now = rows.join(found, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+    several = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    return stored(now.join(several, "bucket"), "unsettled")
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", label_col: str | None = None) -> DataFrame:
+    """Edges (a, b, label_a, label_b) between ids of `docs` whose sets of shingles have a Jaccard similarity of `similarity` or more.
 
     Two texts that are 0.8 similar in shingles differ in about ten bits of 64, too many for a trie to prune, so these
-    links come from bands of least hashes; a pair of 0.8 shares one of the 25 bands with probability 0.9999.  In a band's
-    bucket of up to `SMALL` texts all pairs are compared, in a larger one each text with one centre that changes from
-    band to band.  Every edge is checked by the exact similarity of the whole texts.  In the larger buckets a link
-    between two texts that never have the other as centre can be missed unless others connect them.  Texts without a
-    word and rows with a null id have no edges; ids are integers, one row each.
+    links come from bands of least hashes; a pair of 0.8 shares one of the 25 bands with probability 0.9999.  Every edge
+    is checked by the exact similarity of the whole texts.  Texts of equal label (by default the id) are united already
+    and not compared.  Buckets of up to `SMALL` texts give all edges.  Larger ones give edges that unite exactly what
+    all their edges would: first in blocks of about `BLOCK` texts, then, in buckets that are not one component by then,
+    with the text of the most edges added to each block, and last, block against block, whatever is still apart.  Texts
+    without a word and rows with a null id have no edges; ids and labels are integers, one row each.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col or id_col}`").cast("long").alias("label"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null")
 
     def keys(batches):
         for batch in batches:
-            buf, offs = text_buffer(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            buf, offs = text_buffer(batch.column(2))
+            ids, labels = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for a, b in pieces(offs):
                 h, per = shingle_hashes(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], shingle, seed)
                 if len(h):
-                    got = band_keys(h, per)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b][per > 0], got.shape[1])), pa.array(got.reshape(-1).view(np.int64))], ["id", "bucket"])
-
-    banded = stored(rows.mapInArrow(keys, "id long, bucket long"), "bands")
-    centre = F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id"))["id"]
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), centre.alias("centre")).where("n > 1")
+                    got, full = band_keys(h, per), per > 0
+                    apart = np.lexsort((h, text := np.repeat(np.arange(b - a), per)))
+                    fresh = np.concatenate([[True], (np.diff(h[apart]) != 0) | (np.diff(text[apart]) != 0)])
+                    size = np.bincount(text[apart][fresh], minlength=b - a)
+                    lists = [np.repeat(x[full], got.shape[1]) for x in (ids[a:b], labels[a:b], size)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*lists, got.reshape(-1).view(np.int64))], ["id", "label", "size", "bucket"])
+
+    banded = stored(rows.mapInArrow(keys, "id long, label long, size long, bucket long"), "bands")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket", "n")
     met = stored(banded.join(shared, "bucket"), "buckets")
-    few = met.where(F.col("n") <= SMALL).select("bucket", "id")
-    pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "bucket").where("a < b").select("a", "b")
-    stars = met.where((F.col("n") > SMALL) & (F.col("id") != F.col("centre"))).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-    pairs = stored(pairs.unionByName(stars).distinct(), "pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stored(rows.join(named, "id", "left_semi"), "paired-texts")
+    few = met.where(F.col("n") <= SMALL)
+    one, two = (few.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "size")]) for x in "ab")
+    like = (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
+    pairs = stored(one.join(two, "bucket").where(like).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "label_a", "label_b").distinct(), "pairs")
+    many = met.where(F.col("n") > SMALL).select("bucket", "id", "label", "n")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(many.select("id")).distinct()
+    texts = stored(rows.select("id", "text").join(named, "id", "left_semi"), "paired-texts")
 
     def checked(batches):
         for batch in batches:
             sides = []
-            for column in (batch.column(2), batch.column(3)):
+            for column in (batch.column(4), batch.column(5)):
                 buf, offs = text_buffer(column)
                 h, per = shingle_hashes(buf, offs, shingle, seed)
                 sides.append((h, np.concatenate([[0], np.cumsum(per)])))
@@ -230,10 +312,44 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: in
                 one, two = np.unique(x[xs[i] : xs[i + 1]]), np.unique(y[ys[i] : ys[i + 1]])
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 ok[i] = both >= similarity * (len(one) + len(two) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], ["a", "b"])
+            yield batch.select(["a", "b", "label_a", "label_b"]).filter(pa.array(ok))
 
     sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return sides.select("a", "b", "text_a", "text_b").mapInArrow(checked, "a long, b long")
+    names = "a", "b", "label_a", "label_b"
+    edges = stored(sides.select(*names, "text_a", "text_b").mapInArrow(checked, "a long, b long, label_a long, label_b long"), "checked")
+    if many.isEmpty():
+        return edges
+    labels = many.select("id", "label").distinct()
+
+    def compared(blocks: DataFrame) -> DataFrame:
+        got = links_in_blocks(blocks, texts, similarity, shingle, seed).distinct()
+        for x in "ab":
+            got = got.join(labels.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}")), x)
+        return stored(got.select(*names), "compared")
+
+    block = F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col("n") / BLOCK))
+    edges = edges.unionByName(compared(many.withColumn("block", block)))
+    wide = many.where(F.col("n") > BLOCK)
+    if wide.isEmpty():
+        return edges.distinct()
+    wide = relabelled(wide, edges)
+    if wide.isEmpty():
+        return edges.distinct()
+    degree = edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    hubs = wide.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("degree", "id", "label")).alias("hub")).select("bucket", "hub.id", "hub.label")
+    blocks = wide.withColumn("block", block).select("bucket", "block", "id", "label")
+    added = blocks.select("bucket", "block").distinct().join(hubs, "bucket").select("bucket", "block", "id", "label")
+    edges = edges.unionByName(compared(blocks.unionByName(added).distinct()))
+    wide = relabelled(wide.withColumnRenamed("label", "was").join(labels, "id").drop("was"), edges)
+    if wide.isEmpty():
+        return edges.distinct()
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("label", "id"))
+    cut = stored(wide.withColumn("part", F.floor((place - 1) / BLOCK)), "parts")
+    parts = cut.groupBy("bucket", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    left, right = (parts.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("part", "lo", "hi")]) for x in "ab")
+    both = left.join(right, "bucket").where("part_a <= part_b and lo_a <> hi_b").withColumn("block", F.xxhash64("part_a", "part_b"))
+    sides = both.select("bucket", "block", F.explode(F.array_distinct(F.array("part_a", "part_b"))).alias("part"))
+    return edges.unionByName(compared(sides.join(cut, ["bucket", "part"]).select("bucket", "block", "id", "label"))).distinct()
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, budget: int = 3, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

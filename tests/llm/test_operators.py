@@ -133,6 +133,39 @@ def test_similar_edges_match_brute_force(spark):
     assert None in kept and not any(i in kept and j in kept for i, j in want)
 
 
+def groups(ids, edges):
+    """The least id of each id's component."""
+    least = {i: i for i in ids}
+    for _ in ids:
+        before = dict(least)
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            break
+    return least
+
+
+@pytest.mark.parametrize("block", [256, 24])
+def test_large_groups_match_brute_force(spark, monkeypatch, block):
+    """Copies that only their base links, the base in the middle of the ids, and the same again from another base."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(17)
+    texts = {}
+    for start in (0, 1000):
+        base = [f"w{start}x{k}" for k in range(300)]
+        for n in range(250):
+            w = list(base)
+            if n != 125:
+                for at in rng.sample(range(10, 290, 20), 5):
+                    w[at] = f"n{start}x{n}x{at}"
+            texts[start + n] = w
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    near = [(i, j) for i, j in itertools.combinations(texts, 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = [(r.a, r.b) for r in simhash.similar(docs).collect()]
+    assert set(got) <= set(near) and groups(texts, got) == groups(texts, near)
+
+
 def test_base_counts(docs, rows):
     got = line_crf.quality(docs, line_crf.prior()).collect()
     want = Counter()
