@@ -353,16 +353,22 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: in
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, budget: int = 3, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each group, the row of the least id: first of fingerprints within `budget` bits, then,
-    among the rows left, of texts of `similarity` or more.
+    """`docs` with one row of each group, the row of the least id: groups are the components over both kinds of links,
+    of fingerprints within `budget` bits and of texts of `similarity` or more.
 
-    Ids are integers.  Rows with a null id cannot be named and stay; rows that repeat an id come back once.
+    Each distinct text is a node of the similarity search, labelled with its SimHash class, so a link that a later row of
+    a class has is followed too.  Ids are integers.  Rows with a null id cannot be named and stay; rows that repeat an id
+    come back once.
     """
-    classes = near_duplicates(docs, shingle, budget, id_col=id_col, text_col=text_col)
-    kept = classes.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = stored(docs.join(kept, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]), "firsts")
-    more = components(similar(named, similarity, shingle, id_col=id_col, text_col=text_col)).where("node <> root").select(F.col("node").alias(id_col))
-    return named.join(more, id_col, "left_anti").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    named = docs.where(F.col(id_col).isNotNull())
+    classes = stored(near_duplicates(docs, shingle, budget, id_col=id_col, text_col=text_col).where(F.col(id_col).isNotNull()).select(id_col, "component_id").distinct(), "classes")
+    texts = named.select(id_col, text_col).where(F.col(text_col).isNotNull())
+    first = texts.groupBy(F.md5(text_col).alias("md")).agg(F.min(id_col).alias(id_col)).select(id_col).distinct()
+    nodes = stored(texts.join(first, id_col, "left_semi").join(classes, id_col), "nodes")
+    edges = similar(nodes, similarity, shingle, id_col=id_col, text_col=text_col, label_col="component_id")
+    moved = components(edges.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).where("node <> root").select(F.col("node").alias(id_col))
+    kept = classes.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct().join(moved, id_col, "left_anti")
+    return named.join(kept, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,6 +166,21 @@ def test_large_groups_match_brute_force(spark, monkeypatch, block):
     assert set(got) <= set(near) and groups(texts, got) == groups(texts, near)
 
 
+def test_links_of_removed_rows_are_followed(spark):
+    """A and B have one fingerprint, B and C are 0.8 similar, A and C are not: one group, as are C's own copies with D."""
+    rng = random.Random(23)
+    often, x, y, z = words(rng, 13, "abc") + " ", words(rng, 6, "def"), words(rng, 90, "ghi"), words(rng, 8, "jkl")
+    texts = {1: often * 150 + x, 2: often * 150 + y, 3: often * 2 + y, 4: often * 2 + y + " " + z, 5: words(rng, 90, "mno"), 6: often * 150 + y}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    near = [(i, j) for i, j in itertools.combinations(texts, 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert (2, 3) in near and (1, 2) not in near and (1, 3) not in near
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    prints = {r.doc_id: r.fingerprint % 2**64 for r in simhash.fingerprints(docs, 5).collect()}
+    close = [(i, j) for i, j in itertools.combinations(texts, 2) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    assert (1, 2) in close and (1, 3) not in close
+    assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == set(groups(texts, near + close).values()) == {1, 5}
+
+
 def test_base_counts(docs, rows):
     got = line_crf.quality(docs, line_crf.prior()).collect()
     want = Counter()
