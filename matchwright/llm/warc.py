@@ -118,10 +118,13 @@ def record_chunks(spark: SparkSession, path: str) -> DataFrame:
             for value in batch.column(0):
                 raw = value.as_buffer()
                 view = memoryview(raw)
-                whole = view.tobytes() if len(view) < 4096 else view[:4096].tobytes()
-                at = whole.find(END)
-                if at < 0:
+                if not len(view):
                     continue
+                at, known = -1, 4096
+                while (at := (whole := view[:known].tobytes()).find(END)) < 0 and known < len(view):
+                    known *= 4
+                if at < 0:
+                    raise ValueError(f"record without the end of a header: {whole[:200]!r}")
                 fields = dict(x.split(": ", 1) for x in whole[:at].decode().split("\r\n") if ": " in x)
                 length = int(fields["Content-Length"])
                 block = view[at + 4 : at + 4 + length]

@@ -241,6 +241,23 @@ def test_warc_round_trip(spark):
     assert Counter(map(tuple, warc.read_warc(spark, path).collect())) == want
 
 
+@pytest.mark.parametrize("n", [3500, 5000, 70000])
+def test_warc_long_headers(spark, n):
+    """A URL longer than what the reader first looks at, in a whole record, in segments, and in a record that a revisit refers to."""
+    rows = [(1, "http://x/" + "a" * n, "short"), (2, "é" * n, "b" * 3000), (3, "v", "b" * 3000), (4, "w", "end")]
+    path = common.fresh(spark, "warc-test")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path, chunk=777)
+    sha = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = Counter((i, len(t), sha(t), "revisit" if i == 3 else "response", 2 if i == 3 else None) for i, _, t in rows)
+    assert Counter(map(tuple, warc.read_warc(spark, path).collect())) == want
+
+
+def test_warc_without_header_end_raises(spark, tmp_path):
+    (tmp_path / "x.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\n" + b"x" * 9000)
+    with pytest.raises(Exception, match="without the end of a header"):
+        warc.record_chunks(spark, str(tmp_path)).collect()
+
+
 def test_mixing(spark, docs):
     got = mixing.mixed(docs, share=0.5).collect()
     total = sum(len(WORD.findall(r.text or "")) for r in docs.collect())
