@@ -139,6 +139,12 @@ def bounded_similarity(spark, d):
     return bl.similarity_topk(*_parts(spark, d), "name", 10, bl.BlockingConfig(target_window=100))
 
 
+@query
+def bounded_similarity_full(spark, d):
+    """`bounded_similarity` with the BOUNDED preset; no SQL."""
+    return bl.similarity_topk(*_parts(spark, d), "name", 10, bl.BOUNDED)
+
+
 @query
 def topk_growth(spark, d):
     near = bl.similarity_topk(*_parts(spark, d), "name", 5)
@@ -334,6 +340,13 @@ def diagnostic_target(spark, d):
     return tb.diagnostic_target(s2, s1.where("doc_id < 30"), 5, "doc_id", rows=150).select("entity_id")
 
 
+@query
+def diagnostic_target_full(spark, d):
+    """`diagnostic_target` with the operator's own row limit and a sample by hash of the id; no SQL."""
+    s1, s2, _ = tb.sources(spark, d)
+    return tb.diagnostic_target(s2, s1.where(F.pmod(F.xxhash64("entity_id"), F.lit(10)) == 0), 5, "doc_id").select("entity_id")
+
+
 @query
 def records_by_ids(spark, d):
     ids = tb.projected_truth(spark, d).where("matched_entity_ids <> ''").select(F.col("source1_entity_id").alias("entity_id"))
@@ -367,4 +380,4 @@ def forest_scores(spark, d):
 
 @query
 def sample_evaluation(spark, d):
-    return pl.sample_evaluation(*tb.sources(spark, d), n=50)
+    return pl.sample_evaluation(*tb.sources(spark, d))

@@ -1,5 +1,7 @@
 """Literal cases of the linkage operators."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from matchwright.operators import evaluate as ev
 from matchwright.operators import features as ft
 from matchwright.operators import model as md
 from matchwright.operators import profile as pf
+from matchwright.plans import catalog
 from matchwright.sources.schema import require_columns
 from matchwright.sources.tables import read_tsv, records_by_ids, write_tsv
 
@@ -156,3 +159,17 @@ def test_profile(spark):
     assert tuple(pf.match_coverage(truth).first()) == (1, 1, 1, 1)
     assert {tuple(r) for r in pf.truth_distribution(truth).collect()} == {(2, 1), (0, 1)}
     assert pf.format_counter({"": 1200, "a": 3}) == "[empty]: 1,200\na: 3"
+
+
+def test_queries_look_past_the_small_limits(spark, tmp_path):
+    """Rows beyond the first 150 targets, the first 100 by id and the first 50 of Source 1 count in the queries with the operators' own limits."""
+    rows = [(i, hashlib.md5(str(i // 3).encode()).hexdigest() * 2, "en") for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalog.QUERIES["sample_evaluation"](spark, str(tmp_path)).first().sample_rows == 200
+    near = catalog.QUERIES["bounded_similarity_full"](spark, str(tmp_path)).where("source1_entity_id = 'S1-597'").collect()
+    assert {"S2-598", "S3-599"} <= {r.candidate_entity_id for r in near}
+    ids = spark.range(0, 600, 3).where("pmod(xxhash64('S1-' || id), 10) = 0")
+    hit = {r.id + 1 for r in ids.collect()}
+    others = [i for i in range(1, 600, 3) if i not in hit][:5]
+    got = {r.entity_id for r in catalog.QUERIES["diagnostic_target_full"](spark, str(tmp_path)).collect()}
+    assert got == {f"S2-{i}" for i in (*hit, *others)} and max(hit) > 450
