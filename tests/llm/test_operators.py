@@ -147,7 +147,7 @@ def groups(ids, edges):
 
 @pytest.mark.parametrize("block", [256, 24])
 def test_large_groups_match_brute_force(spark, monkeypatch, block):
-    """Copies that only their base links, the base in the middle of the ids, and the same again from another base."""
+    """Copies that are mostly linked by their base alone, the base in the middle of the ids, and the same again from another base."""
     monkeypatch.setattr(simhash, "BLOCK", block)
     rng = random.Random(17)
     texts = {}
