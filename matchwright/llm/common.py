@@ -7,16 +7,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch to Python workers.  Texts can be long, so fewer than Spark's 10,000.
-BATCH_ROWS = 1024
+#: Rows and bytes of an Arrow batch to Python workers, unless one row is larger.  Texts can be long, so less than Spark's 10,000 and 64 MB.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A whole table of a data folder; batches to Python are kept small, since texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """A whole table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """`df.mapInArrow(run, schema)` by batches of bounded size; the two settings hold for the session from then on."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir.  Only a local session may go without; it gets its own."""
     sc = spark.sparkContext

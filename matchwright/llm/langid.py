@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import first_of_class, table
+from .common import first_of_class, in_batches, table
 from .textbytes import pieces, text_buffer
 
 #: Buckets per subword length (a power of two); the last bucket of the table is for positions without a subword.
@@ -143,7 +143,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, accept: float = 0.995, id_c
                 got.append((idx[real].astype(np.int32).tobytes(), n[real].astype(np.int32).tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.binary()) for x in (zip(*got, strict=True) if got else ((), ())))], ["key", "lang", "idx", "n"])
 
-    rows = sample.select("_key", "_lang", "_text").mapInArrow(run, "key long, lang string, idx binary, n binary").collect()
+    rows = in_batches(sample.select("_key", "_lang", "_text"), run, "key long, lang string, idx binary, n binary").collect()
     rows = sorted(((r.key, r.lang, bytes(r.idx), bytes(r.n)) for r in rows), key=lambda r: r)
     return fit([(lang, np.frombuffer(i, np.int32), np.frombuffer(n, np.int32)) for _, lang, i, n in rows if i], accept)
 
@@ -187,7 +187,7 @@ def predictions(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
             ok = (score >= model.threshold) & (lang != "und")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(ok)], names=[f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)
 
 
 def held_out(id_col: str = "doc_id", parts: int = 4):

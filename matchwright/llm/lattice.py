@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import in_batches, stored, table
 from .langid import held_out
 from .textbytes import byte_values, hash_of, lower_table, pieces, prefix_hash, spans, text_buffer, word_table
 
@@ -126,7 +126,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         k, n = merged()
         yield pa.RecordBatch.from_arrays([pa.array(k[n > 0]), pa.array(n[n > 0])], ["word", "c"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return in_batches(docs.select(F.col(text_col).cast("string")), run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def scores(docs: DataFrame, training: DataFrame, lattice: Lattice, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,7 +196,7 @@ def scores(docs: DataFrame, training: DataFrame, lattice: Lattice, head: int = H
                 )
                 at += m
 
-    parts = rows.mapInArrow(run, schema).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    parts = in_batches(rows, run, schema).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     many = F.col("number") > 0
     return parts.groupBy("row").agg(
         F.max(id_col).alias(id_col),

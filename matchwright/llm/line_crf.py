@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import first_of_class, table
+from .common import first_of_class, in_batches, table
 from .textbytes import byte_values, hash_of, mix, pieces, prefix_hash, spans, sums, text_buffer, word_table
 
 FEATURES = ("bias", "log_words", "word_length", "symbols", "capitals", "exclamations", "echoes", "repeats", "twin_line", "digits", "sentence_end", "short")
@@ -200,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
             got = [read_lines(buf[offs[i] : offs[i + 1]], offs[i : i + 2] - offs[i]).features[: MAX_LINES + 1].astype(np.float32).tobytes() for i in range(len(offs) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary())], ["key", "label", "features"])
 
-    rows = sample.select("_key", "_label", "_text").mapInArrow(run, "key long, label int, features binary").collect()
+    rows = in_batches(sample.select("_key", "_label", "_text"), run, "key long, label int, features binary").collect()
     rows = sorted((r.key, r.label, bytes(r.features)) for r in rows)
     chains_of = [(label, np.frombuffer(x, np.float32).reshape(-1, len(FEATURES))) for _, label, x in rows if x]
     chains_of = [(label, x) for label, x in chains_of if len(x) <= MAX_LINES]
@@ -230,7 +230,7 @@ def quality(docs: DataFrame, field: Field, share: float = SHARE, id_col: str = "
                 cols = [getattr(x, c).astype(np.int64) for c in counts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c) for c in (*cols, failed, ~failed & (good >= share), good))], names=[f.name for f in schema])
 
-    return rows.mapInArrow(run, schema)
+    return in_batches(rows, run, schema)
 
 
 def line_labels(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,7 +247,7 @@ def line_labels(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
                 base = offs[of] - offs[a]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(x.start - base), pa.array(x.end - base), pa.array(x.words.astype(np.int64)), pa.array(viterbi(field, x.features, x.first) == 1)], names=[f.name for f in schema])
 
-    return rows.mapInArrow(run, schema)
+    return in_batches(rows, run, schema)
 
 
 def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, stored, table
+from .common import components, in_batches, stored, table
 from .textbytes import lower_table, mix, pieces, spans, text_buffer, word_table, xxh64
 
 #: Node pairs that a step of the trie walk expands at once.
@@ -45,10 +45,9 @@ def shingle_hashes(buf: np.ndarray, offs: np.ndarray, shingle: int, seed: int) -
     return xxh64(joined, at[begin], at[end] - 1 - at[begin], seed), per
 
 
-def simhashes(buf: np.ndarray, offs: np.ndarray, shingle: int, seed: int) -> np.ndarray:
-    """Fingerprints of the texts buf[offs[i]:offs[i+1]]; zero for a text without a word."""
-    out = np.zeros(len(offs) - 1, np.uint64)
-    h, per = shingle_hashes(buf, offs, shingle, seed)
+def majority(h: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Fingerprints of texts from their shingles' hashes; zero for a text without a word."""
+    out = np.zeros(len(per), np.uint64)
     full = np.flatnonzero(per)
     if len(full):
         bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -64,11 +63,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
     def run(batches):
         for batch in batches:
             buf, offs = text_buffer(batch.column(1))
-            parts = [simhashes(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], shingle, seed) for a, b in pieces(offs)]
+            parts = [majority(*shingle_hashes(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], shingle, seed)) for a, b in pieces(offs)]
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], [id_col, "fingerprint"])
 
-    return rows.mapInArrow(run, T.StructType([T.StructField(id_col, rows.schema[0].dataType), T.StructField("fingerprint", T.LongType())]))
+    return in_batches(rows, run, T.StructType([T.StructField(id_col, rows.schema[0].dataType), T.StructField("fingerprint", T.LongType())]))
 
 
 def unite(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -155,7 +154,16 @@ def links(prints: DataFrame, budget: int = 3) -> DataFrame:
             ends = [((x >> back) | (x << away) if k else x).view(np.int64) for x in (part[moved], part[root[moved]])]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b"])
 
-    return rows.repartition("turn", "block").select("turn", "v").mapInArrow(run, "a long, b long")
+    return in_batches(rows.repartition("turn", "block").select("turn", "v"), run, "a long, b long")
+
+
+def classes(prints: DataFrame, budget: int, id_col: str) -> DataFrame:
+    """`prints` (id, fingerprint, any other columns) with component_id: the least id reachable over fingerprints within `budget` bits."""
+    least = prints.groupBy("fingerprint").agg(F.min(id_col).alias("least"))
+    found = components(links(prints, budget))
+    named = least.join(found, least["fingerprint"] == found["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(named.join(ids, "root").select("fingerprint", "component_id"), "fingerprint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,12 +173,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, seed: in
     came; a component whose ids are all null has a null component_id; other columns of `docs` are not read.
     """
     prints = stored(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
-    least = prints.groupBy("fingerprint").agg(F.min(id_col).alias("least"))
-    found = components(links(prints, budget))
-    named = least.join(found, least["fingerprint"] == found["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(ids, "root").select("fingerprint", "component_id")
-    return prints.join(classes, "fingerprint").select(id_col, "fingerprint", "component_id")
+    return classes(prints, budget, id_col).select(id_col, "fingerprint", "component_id")
 
 
 def band_keys(h: np.ndarray, per: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
@@ -250,7 +253,7 @@ def links_in_blocks(blocks: DataFrame, texts: DataFrame, similarity: float, shin
             yield edges(pa.Table.from_batches(held).combine_chunks())
 
     rows = blocks.join(texts, "id").select("bucket", "block", "id", "label", "text")
-    return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(run, "a long, b long")
+    return in_batches(rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block"), run, "a long, b long")
 
 
 def relabelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -261,34 +264,51 @@ def relabelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(now.join(several, "bucket"), "unsettled")
 
 
-def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", label_col: str | None = None) -> DataFrame:
-    """Edges (a, b, label_a, label_b) between ids of `docs` whose sets of shingles have a Jaccard similarity of `similarity` or more.
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id bigint, md5, text) of every row with an id; a null text counts as empty."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.unhex(F.md5(text)).alias("md5"), text.alias("text")).where("id is not null")
 
-    Two texts that are 0.8 similar in shingles differ in about ten bits of 64, too many for a trie to prune, so these
-    links come from bands of least hashes; a pair of 0.8 shares one of the 25 bands with probability 0.9999.  Every edge
-    is checked by the exact similarity of the whole texts.  Texts of equal label (by default the id) are united already
-    and not compared.  Buckets of up to `SMALL` texts give all edges.  Larger ones give edges that unite exactly what
-    all their edges would: first in blocks of about `BLOCK` texts, then, in buckets that are not one component by then,
-    with the text of the most edges added to each block, and last, block against block, whatever is still apart.  Texts
-    without a word and rows with a null id have no edges; ids and labels are integers, one row each.
-    """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col or id_col}`").cast("long").alias("label"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null")
 
-    def keys(batches):
+def sketches(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, md5, fingerprint, size, bands) of every row with an id, from one pass over its shingles: size counts distinct shingles, texts without a word have no bands."""
+    rows = keyed_texts(docs, id_col, text_col)
+
+    def run(batches):
         for batch in batches:
             buf, offs = text_buffer(batch.column(2))
-            ids, labels = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for a, b in pieces(offs):
                 h, per = shingle_hashes(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], shingle, seed)
-                if len(h):
-                    got, full = band_keys(h, per), per > 0
-                    apart = np.lexsort((h, text := np.repeat(np.arange(b - a), per)))
-                    fresh = np.concatenate([[True], (np.diff(h[apart]) != 0) | (np.diff(text[apart]) != 0)])
-                    size = np.bincount(text[apart][fresh], minlength=b - a)
-                    lists = [np.repeat(x[full], got.shape[1]) for x in (ids[a:b], labels[a:b], size)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*lists, got.reshape(-1).view(np.int64))], ["id", "label", "size", "bucket"])
-
-    banded = stored(rows.mapInArrow(keys, "id long, label long, size long, bucket long"), "bands")
+                keys = band_keys(h, per) if len(h) else np.zeros((0, BANDS), np.uint64)
+                ends = np.concatenate([[0], np.cumsum((per > 0) * keys.shape[1])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(majority(h, per).view(np.int64)), pa.array(distinct(h, per)), lists], ["id", "md5", "fingerprint", "size", "bands"])
+
+    return in_batches(rows, run, "id long, md5 binary, fingerprint long, size long, bands array<bigint>")
+
+
+def distinct(h: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Number of distinct hashes of each text."""
+    text = np.repeat(np.arange(len(per)), per)
+    order = np.lexsort((h, text))
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (np.diff(h[order]) != 0) | (np.diff(text[order]) != 0)
+    return np.bincount(text[order][fresh], minlength=len(per))
+
+
+def similar(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: int = 42) -> DataFrame:
+    """Edges (a, b, label_a, label_b) between `nodes` (id, md5, label, size, bands) whose sets of shingles have a Jaccard similarity of `similarity` or more.
+
+    Two texts that are 0.8 similar in shingles differ in about ten bits of 64, too many for a trie to prune, so these
+    links come from bands of least hashes; a pair of 0.8 shares one of the 25 bands with probability 0.9999.  Every edge
+    is checked by the exact similarity of the whole texts, which `texts` (id, md5, text) has; only those of nodes that share a
+    band are moved.  Texts of equal label are united already and not compared.  Buckets of up to `SMALL` texts give all
+    edges.  Larger ones give edges that unite exactly what all their edges would: first in blocks of about `BLOCK` texts,
+    then, in buckets that are not one component by then, with the text of the most edges added to each block, and last,
+    block against block, whatever is still apart.  Texts without a word have no edges; ids and labels are integers, one
+    row each.
+    """
+    banded = stored(nodes.select("id", "label", "size", F.explode("bands").alias("bucket")), "bands")
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket", "n")
     met = stored(banded.join(shared, "bucket"), "buckets")
     few = met.where(F.col("n") <= SMALL)
@@ -296,27 +316,25 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: in
     like = (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
     pairs = stored(one.join(two, "bucket").where(like).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "label_a", "label_b").distinct(), "pairs")
     many = met.where(F.col("n") > SMALL).select("bucket", "id", "label", "n")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(many.select("id")).distinct()
-    texts = stored(rows.select("id", "text").join(named, "id", "left_semi"), "paired-texts")
+    named = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(many.select("id")).distinct().join(nodes.select("id", "md5"), "id"), "named")
+    texts = stored(texts.join(named, ["id", "md5"], "left_semi").dropDuplicates(["id", "md5"]).select("id", "text"), "paired-texts")
 
     def checked(batches):
         for batch in batches:
-            sides = []
-            for column in (batch.column(4), batch.column(5)):
-                buf, offs = text_buffer(column)
-                h, per = shingle_hashes(buf, offs, shingle, seed)
-                sides.append((h, np.concatenate([[0], np.cumsum(per)])))
-            (x, xs), (y, ys) = sides
+            (one, ones), (two, twos) = (text_buffer(batch.column(k)) for k in (4, 5))
             ok = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                one, two = np.unique(x[xs[i] : xs[i + 1]]), np.unique(y[ys[i] : ys[i + 1]])
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                ok[i] = both >= similarity * (len(one) + len(two) - both)
+            for a, b in pieces(ones + twos):
+                (x, xs), (y, ys) = (shingle_hashes(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], shingle, seed) for buf, offs in ((one, ones), (two, twos)))
+                xs, ys = (np.concatenate([[0], np.cumsum(per)]) for per in (xs, ys))
+                for i in range(b - a):
+                    p, q = np.unique(x[xs[i] : xs[i + 1]]), np.unique(y[ys[i] : ys[i + 1]])
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    ok[a + i] = both >= similarity * (len(p) + len(q) - both)
             yield batch.select(["a", "b", "label_a", "label_b"]).filter(pa.array(ok))
 
     sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     names = "a", "b", "label_a", "label_b"
-    edges = stored(sides.select(*names, "text_a", "text_b").mapInArrow(checked, "a long, b long, label_a long, label_b long"), "checked")
+    edges = stored(in_batches(sides.select(*names, "text_a", "text_b"), checked, "a long, b long, label_a long, label_b long"), "checked")
     if many.isEmpty():
         return edges
     labels = many.select("id", "label").distinct()
@@ -352,23 +370,30 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seed: in
     return edges.unionByName(compared(sides.join(cut, ["bucket", "part"]).select("bucket", "block", "id", "label"))).distinct()
 
 
-def deduplicated(docs: DataFrame, shingle: int = 5, budget: int = 3, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = 5, budget: int = 3, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group, the row of the least id: groups are the components over both kinds of links,
     of fingerprints within `budget` bits and of texts of `similarity` or more.
 
     Each distinct text is a node of the similarity search, labelled with its SimHash class, so a link that a later row of
-    a class has is followed too.  Ids are integers.  Rows with a null id cannot be named and stay; rows that repeat an id
-    come back once.
+    a class has is followed too.  Texts are hashed once; all that is shuffled of them are sketches, and the texts of nodes
+    that share a band.  Ids are integers (others raise).  Null and empty texts are one group; rows with a null id cannot
+    be named and stay; an id with several texts counts, and comes back, as one row of the least MD5; an empty table stays
+    empty; all columns are kept, and may have any names.
     """
-    named = docs.where(F.col(id_col).isNotNull())
-    classes = stored(near_duplicates(docs, shingle, budget, id_col=id_col, text_col=text_col).where(F.col(id_col).isNotNull()).select(id_col, "component_id").distinct(), "classes")
-    texts = named.select(id_col, text_col).where(F.col(text_col).isNotNull())
-    first = texts.groupBy(F.md5(text_col).alias("md")).agg(F.min(id_col).alias(id_col)).select(id_col).distinct()
-    nodes = stored(texts.join(first, id_col, "left_semi").join(classes, id_col), "nodes")
-    edges = similar(nodes, similarity, shingle, id_col=id_col, text_col=text_col, label_col="component_id")
-    moved = components(edges.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).where("node <> root").select(F.col("node").alias(id_col))
-    kept = classes.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct().join(moved, id_col, "left_anti")
-    return named.join(kept, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type")
+    prints = sketches(docs, shingle, seed, id_col, text_col)
+    prints = stored(prints.groupBy("id").agg(F.min(F.struct("md5", "fingerprint", "size", "bands")).alias("x")).select("id", "x.*"), "sketches")
+    named = stored(classes(prints, budget, "id").withColumnRenamed("component_id", "label"), "classes")
+    first = named.where("size > 0").groupBy("md5").agg(F.min("id").alias("first")).select("first")
+    nodes = named.join(first, F.col("id") == F.col("first")).select("id", "md5", "label", "size", "bands")
+    edges = similar(nodes, keyed_texts(docs, id_col, text_col), similarity, shingle, seed)
+    moved = components(edges.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).where("node <> root").select(F.col("node").alias("id"))
+    kept = named.where("id = label").select("id", "md5").join(moved, "id", "left_anti")
+    kept = kept.toDF("id", "md5")  # columns of its own, apart from those of docs
+    md5 = F.unhex(F.md5(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    rows = docs.join(kept, (docs[id_col] == kept["id"]) & (md5 == kept["md5"]), "left_semi").dropDuplicates([id_col])
+    return rows.unionByName(docs.where(docs[id_col].isNull()))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

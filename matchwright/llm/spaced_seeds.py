@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import in_batches, table
 from .textbytes import byte_values, hash_of, mix, pieces, prefix_hash, spans, text_buffer
 
 WINDOW, GROUPS, SUBSTITUTIONS = 13, 4, 2
@@ -157,7 +157,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                         ids = pa.array([seeds.ids[i] for i in item])
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([a + t for t in text])), ids, *(pa.array(x, pa.int64()) for x in rest)], names=[id_col, item_id, "start_word", "end_word", "covered_words", "equal_words"])
 
-        part = rows.mapInArrow(run, schema)
+        part = in_batches(rows, run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -176,7 +176,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
                     clean[[a + x[0] for x in seeds.verified(words, first)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = in_batches(docs, run, docs.schema)
     return docs
 
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, table
+from .common import in_batches, partitions, stored, table
 from .textbytes import byte_values, hash_of, pieces, prefix_hash, text_buffer
 
 LENGTH, WINDOW, GRAM = 400, 200, 16
@@ -86,7 +86,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), *lists], ["md5", "id", "keys", "at"])
 
-    return docs.mapInArrow(run, f"md5 binary, id {docs.schema['id'].dataType.simpleString()}, keys array<bigint>, at array<bigint>")
+    return in_batches(docs, run, f"md5 binary, id {docs.schema['id'].dataType.simpleString()}, keys array<bigint>, at array<bigint>")
 
 
 def entry(text: bytes, at: int) -> bytes:
@@ -271,7 +271,7 @@ def sorted_runs(texts: DataFrame, splitters: list[bytes], spread: int) -> DataFr
                     yield flush()
         yield flush()
 
-    return texts.select("no", F.col("text").cast("binary"), "at").mapInArrow(run, "kind int, dest int, run long, blob binary")
+    return in_batches(texts.select("no", F.col("text").cast("binary"), "at"), run, "kind int, dest int, run long, blob binary")
 
 
 def sampled(texts: DataFrame, every: int) -> list[bytes]:
@@ -289,7 +289,7 @@ def sampled(texts: DataFrame, every: int) -> list[bytes]:
                     out += [entry(text, int(x)) for x in pick]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["s"])
 
-    return sorted(bytes(r.s) for r in texts.select("no", F.col("text").cast("binary"), "at").mapInArrow(run, "s binary").toLocalIterator())
+    return sorted(bytes(r.s) for r in in_batches(texts.select("no", F.col("text").cast("binary"), "at"), run, "s binary").toLocalIterator())
 
 
 def merge_runs(runs: DataFrame, splitters: list[bytes], spread: int) -> DataFrame:
@@ -378,7 +378,7 @@ def merge_runs(runs: DataFrame, splitters: list[bytes], spread: int) -> DataFram
 
     names = ["kind", "no", "first", "last", "dest", "blob"]
     dealt = runs.repartition(partitions(runs.sparkSession), "dest").sortWithinPartitions("kind", "dest", "run").select("kind", "dest", "blob")
-    return dealt.mapInArrow(run, "kind int, no long, first long, last long, dest int, blob binary")
+    return in_batches(dealt, run, "kind int, no long, first long, last long, dest int, blob binary")
 
 
 def across(found: DataFrame) -> DataFrame:
@@ -405,7 +405,7 @@ def across(found: DataFrame) -> DataFrame:
             yield out()
 
     dealt = found.where("kind = 1").select("dest", "blob").repartition("dest").sortWithinPartitions("dest")
-    return dealt.mapInArrow(run, "no long, first long, last long")
+    return in_batches(dealt, run, "no long, first long, last long")
 
 
 def stripped(texts: DataFrame) -> DataFrame:
@@ -426,7 +426,7 @@ def stripped(texts: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["no", "n_removed", "n_spans", "kept_sha256"])
 
-    return texts.mapInArrow(run, "no long, n_removed long, n_spans long, kept_sha256 string")
+    return in_batches(texts, run, "no long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

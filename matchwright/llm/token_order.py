@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, partitions, stored, table
+from .common import fresh, in_batches, partitions, stored, table
 from .textbytes import byte_values, hash_of, pieces, prefix_hash, text_buffer
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -144,7 +144,7 @@ def packed(docs: DataFrame, ranks: dict[bytes, int], length: int = LENGTH, text_
             ids = np.concatenate(rest)
             yield from out(np.concatenate([ids, np.full(-len(ids) % length, PAD, "<u2")]))
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "part int, first long, n long, ids binary")
+    return in_batches(docs.select(F.col(text_col).cast("string")), run, "part int, first long, n long, ids binary")
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -189,7 +189,7 @@ def write_shards(docs: DataFrame, path: str, ranks: dict[bytes, int], length: in
                     count = 0
         yield from flush()
 
-    dealt = placed.mapInArrow(deal, "shard long, total long, slots binary, ids binary")
+    dealt = in_batches(placed, deal, "shard long, total long, slots binary, ids binary")
 
     def write(batches):
         filesystem, top = opened(path)
@@ -224,7 +224,7 @@ def write_shards(docs: DataFrame, path: str, ranks: dict[bytes, int], length: in
     filesystem, top = opened(path)
     filesystem.create_dir(top, recursive=True)
     ranges = dealt.repartition(partitions(docs.sparkSession), "shard").sortWithinPartitions("shard")
-    return stored(ranges.mapInArrow(write, "shard long, first_slot long, n long, crc32 long, total long"), "shard-manifest")
+    return stored(in_batches(ranges, write, "shard long, first_slot long, n long, crc32 long, total long"), "shard-manifest")
 
 
 def read_slots(path: str, begin: int, end: int, length: int = LENGTH, per_shard: int = PER_SHARD):
@@ -257,7 +257,7 @@ def sequences(manifest: DataFrame, path: str, length: int = LENGTH, per_shard: i
                 cols = [slot, np.full(n, shard), slot - first, feistel(slot, total, key, back=True), (ids != PAD).sum(axis=1), np.array([zlib.crc32(x) for x in ids])]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["slot", "shard", "row", "sequence", "n_tokens", "crc32"])
 
-    return manifest.repartition("shard").mapInArrow(run, "slot long, shard long, row long, sequence long, n_tokens long, crc32 long")
+    return in_batches(manifest.repartition("shard"), run, "slot long, shard long, row long, sequence long, n_tokens long, crc32 long")
 
 
 def op7_token_order(spark: SparkSession, sf_dir: str) -> DataFrame:

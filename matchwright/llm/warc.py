@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, table
+from .common import fresh, in_batches, stored, table
 
 CHUNK = 1 << 20
 END, HEAD = b"\r\n\r\n", b"WARC/1.1\r\n"
@@ -100,7 +100,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, chunk: int = CHUNK,
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     # bytes go through the text writer as they are: a cast of binary to string does not look at them
-    records = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+    records = in_batches(rows, run, "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
 
 
@@ -155,7 +155,7 @@ def record_chunks(spark: SparkSession, path: str) -> DataFrame:
     def rows_of(out):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 9, kinds, strict=True)], names)
 
-    return lines.mapInArrow(run, "row string, page string, kind string, refers string, chunk long, total long, size long, digest string, data binary")
+    return in_batches(lines, run, "row string, page string, kind string, refers string, chunk long, total long, size long, digest string, data binary")
 
 
 def assembled(chunks: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def assembled(chunks: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], ["row", "page", "kind", "refers", "payload_bytes", "payload_digest"])
 
     dealt = chunks.repartition("row").sortWithinPartitions("row", "chunk")
-    return dealt.mapInArrow(run, "row string, page string, kind string, refers string, payload_bytes long, payload_digest string")
+    return in_batches(dealt, run, "row string, page string, kind string, refers string, payload_bytes long, payload_digest string")
 
 
 def read_warc(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:

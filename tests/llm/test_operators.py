@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from matchwright.llm import common, hilbert, langid, lattice, line_crf, mixing, simhash, spaced_seeds, suffix_merge, textbytes, token_order, warc
 
@@ -113,6 +114,18 @@ def test_deduplicated_keeps_one_row(docs):
     assert len(ids) == len(set(ids)) and {8, 7, None} <= set(ids) and 9 not in ids and set(kept[0].asDict()) == set(docs.columns)
 
 
+def test_deduplicated_odd_rows(spark):
+    """Clashing names, an id with several texts, ids of another type, empty and null texts."""
+    rows = [(1, "a b c d e f", 0, "x"), (1, "g h i j k l", 1, "y"), (2, "a b c d e f", 2, "z"), (3, None, 3, None), (4, "", 4, ""), (None, "q", 5, "q"), (5, "g h i j k l", 6, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int, md5 string")
+    out = simhash.deduplicated(docs)
+    least = min((0, 1), key=lambda i: hashlib.md5(rows[i][1].encode()).digest())
+    want = {rows[least][2], rows[3][2], 5, 2 if least else 6}
+    assert out.columns == docs.columns and {r.id for r in out.collect()} == want
+    with pytest.raises(TypeError):
+        simhash.deduplicated(docs.select(F.col("md5").alias("doc_id"), "text"))
+
+
 def test_similar_edges_match_brute_force(spark):
     rng = random.Random(9)
     rows, n = [(0, None), (1, ""), (2, " "), (None, "x y")], 3
@@ -126,13 +139,19 @@ def test_similar_edges_match_brute_force(spark):
     sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} if t and t.strip() else set() for i, t in rows if i is not None}
     want = {(i, j) for i, j in itertools.combinations(sorted(sets), 2) if sets[i] & sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [(r.a, r.b) for r in simhash.similar(docs).collect()]
+    got = [(r.a, r.b) for r in similar_edges(docs).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
-    assert simhash.similar(docs.limit(0)).count() == 0
+    assert similar_edges(docs.limit(0)).count() == 0 and simhash.deduplicated(docs.limit(0)).count() == 0
     kept = {r.doc_id for r in simhash.deduplicated(docs).collect()}
     assert None in kept and not any(i in kept and j in kept for i, j in want)
 
 
+def similar_edges(docs):
+    """Edges of `similar` between all distinct texts, each labelled with its own id."""
+    nodes = simhash.sketches(docs, 5, 42, "doc_id", "text").where("size > 0").withColumn("label", F.col("id"))
+    return simhash.similar(nodes, simhash.keyed_texts(docs, "doc_id", "text"))
+
+
 def groups(ids, edges):
     """The least id of each id's component."""
     least = {i: i for i in ids}
@@ -162,7 +181,7 @@ def test_large_groups_match_brute_force(spark, monkeypatch, block):
     sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
     near = [(i, j) for i, j in itertools.combinations(texts, 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
-    got = [(r.a, r.b) for r in simhash.similar(docs).collect()]
+    got = [(r.a, r.b) for r in similar_edges(docs).collect()]
     assert set(got) <= set(near) and groups(texts, got) == groups(texts, near)
 
 
