@@ -26,44 +26,47 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import in_batches, partitions, stored, table
-from .textbytes import byte_values, hash_of, pieces, prefix_hash, text_buffer
+from .textbytes import byte_values, hash_of, pieces, prefix_hash, spans, text_buffer, word_table
 
 LENGTH, WINDOW, GRAM = 400, 200, 16
+#: Words of a passage, and bytes of a word's code, for repeats by words.
+PASSAGE, CODE = 51, 4
 #: Bytes of entries that a task sorts as one run, and that a reducer compares at once (single groups may be larger).
 RUN, COMPARE = 48 << 20, 4 << 20
 #: Sampled suffixes for each range of the order.
 SAMPLE = 24
 
 
-def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchors(buf: np.ndarray, offs: np.ndarray, length: int, window: int) -> tuple[np.ndarray, ...]:
     """(text, anchor, first window, last window, hash of the bytes that all its windows hold from the anchor on), positions in `buf`."""
     none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     n = len(buf)
-    if n < LENGTH:
+    if n < length:
         return none
     prefix = prefix_hash(buf, byte_values())
     at = np.arange(n - GRAM + 1)
     bits = np.uint64(n.bit_length())
     m = (hash_of(prefix, at, at + GRAM) >> bits << bits) | at.astype(np.uint64)  # ties go to the left
     span = 1
-    while span * 2 <= WINDOW:
+    while span * 2 <= window:
         m = np.minimum(m[:-span], m[span:])
         span *= 2
-    if span < WINDOW:
-        m = np.minimum(m[: span - WINDOW], m[WINDOW - span :])
-    count = np.maximum(np.diff(offs) - LENGTH + 1, 0)
+    if span < window:
+        m = np.minimum(m[: span - window], m[window - span :])
+    count = np.maximum(np.diff(offs) - length + 1, 0)
     s = np.repeat(offs[:-1], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     if not len(s):
         return none
     a = (m[s] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
     cut = np.concatenate([[0], np.flatnonzero(np.diff(a)) + 1])
     first, last, a = s[cut], s[np.concatenate([cut[1:], [len(s)]]) - 1], a[cut]
-    return np.searchsorted(offs, a, "right") - 1, a, first, last, hash_of(prefix, a, a + LENGTH - WINDOW + 1)
+    return np.searchsorted(offs, a, "right") - 1, a, first, last, hash_of(prefix, a, a + length - window + 1)
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
+def anchor_rows(docs: DataFrame, length: int, window: int) -> DataFrame:
     """(md5, id, keys, at) of each row (md5, id, text) that has a window; at packs anchor, windows before it and the last window's offset."""
 
     def run(batches):
@@ -71,7 +74,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             buf, offs = text_buffer(batch.column(2))
             rows, keys, packs = [], [], []
             for a, b in pieces(offs):
-                text, at, first, last, key = anchors(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                text, at, first, last, key = anchors(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], length, window)
                 if not len(text):
                     continue
                 cut = np.concatenate([[0], np.flatnonzero(np.diff(text)) + 1])
@@ -89,11 +92,11 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     return in_batches(docs, run, f"md5 binary, id {docs.schema['id'].dataType.simpleString()}, keys array<bigint>, at array<bigint>")
 
 
-def entry(text: bytes, at: int) -> bytes:
-    """The sorted string of an anchor: 400 bytes from it on (0xFF, which UTF-8 never has, after the end), then the bytes of its windows before it, backwards."""
+def entry(text: bytes, at: int, length: int) -> bytes:
+    """The sorted string of an anchor: `length` bytes from it on (0xFF, which UTF-8 never has, after the end), then the bytes of its windows before it, backwards."""
     a = at >> 16
-    right = text[a : a + LENGTH]
-    return right + b"\xff" * (LENGTH - len(right)) + text[a - (at >> 8 & 255) : a][::-1]
+    right = text[a : a + length]
+    return right + b"\xff" * (length - len(right)) + text[a - (at >> 8 & 255) : a][::-1]
 
 
 def common(a: bytes, b: bytes, i: int) -> int:
@@ -202,26 +205,26 @@ def merged(runs: list):
             node //= 2
 
 
-def repeated_windows(entries: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, entry, window number, repeated) of all windows of the entries (string, multi, last), compared by their 400 bytes.
+def repeated_windows(entries: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, entry, window number, repeated) of all windows of the entries (string, multi, last), compared by their bytes.
 
-    The string is turned round again: bytes before the anchor, then 400 bytes from it on; window j starts at byte j.
+    The string is turned round again: bytes before the anchor, then `length` bytes from it on; window j starts at byte j.
     """
-    lefts = [len(x) - LENGTH for x, _, _ in entries]
-    flat = np.frombuffer(b"".join(x[:LENGTH - 1 : -1] + x[:LENGTH] for x, _, _ in entries), np.uint8)
+    lefts = [len(x) - length for x, _, _ in entries]
+    flat = np.frombuffer(b"".join(x[:length - 1 : -1] + x[:length] for x, _, _ in entries), np.uint8)
     sizes = np.array([len(x) for x, _, _ in entries])
     base = np.cumsum(sizes) - sizes
     count = np.array([left - last + 1 for left, (_, _, last) in zip(lefts, entries, strict=True)])
     of = np.repeat(np.arange(len(entries)), count)
     j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     prefix = prefix_hash(flat, byte_values())
-    h = hash_of(prefix, base[of] + j, base[of] + j + LENGTH)
+    h = hash_of(prefix, base[of] + j, base[of] + j + length)
     _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
     multi = np.array([m for _, m, _ in entries], bool)
     return h, of, j, (times[inverse] > 1) | multi[of]
 
 
-def sorted_runs(texts: DataFrame, splitters: list[bytes], spread: int) -> DataFrame:
+def sorted_runs(texts: DataFrame, splitters: list[bytes], spread: int, length: int) -> DataFrame:
     """(kind, dest, run, blob): front-coded runs for each range, and the windows that are repeated within a run."""
 
     def run(batches):
@@ -262,7 +265,7 @@ def sorted_runs(texts: DataFrame, splitters: list[bytes], spread: int) -> DataFr
                 no, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_buffer()
                 text = text.to_pybytes() if text is not None else b""
                 for at in batch.column(2)[i].values.to_numpy().tolist():
-                    s = entry(text, at)
+                    s = entry(text, at, length)
                     members = held.setdefault(s, [])
                     if (no, at) not in members[-1:] and (no, at) not in members[:1]:
                         members.append((no, at))
@@ -274,7 +277,7 @@ def sorted_runs(texts: DataFrame, splitters: list[bytes], spread: int) -> DataFr
     return in_batches(texts.select("no", F.col("text").cast("binary"), "at"), run, "kind int, dest int, run long, blob binary")
 
 
-def sampled(texts: DataFrame, every: int) -> list[bytes]:
+def sampled(texts: DataFrame, every: int, length: int) -> list[bytes]:
     """One entry in `every`, by the hash of its text number and anchor."""
 
     def run(batches):
@@ -286,15 +289,15 @@ def sampled(texts: DataFrame, every: int) -> list[bytes]:
                 pick = at[((at.astype(np.uint64) + np.uint64(no % 2**63)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(every) == 0]
                 if len(pick):
                     text = batch.column(1)[i].as_buffer().to_pybytes()
-                    out += [entry(text, int(x)) for x in pick]
+                    out += [entry(text, int(x), length) for x in pick]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["s"])
 
     return sorted(bytes(r.s) for r in in_batches(texts.select("no", F.col("text").cast("binary"), "at"), run, "s binary").toLocalIterator())
 
 
-def merge_runs(runs: DataFrame, splitters: list[bytes], spread: int) -> DataFrame:
+def merge_runs(runs: DataFrame, splitters: list[bytes], spread: int, length: int, window: int) -> DataFrame:
     """(kind, no, first, last, dest, blob): repeated windows of texts (kind 0), and windows to compare across ranges (kind 1)."""
-    shared = LENGTH - WINDOW + 1
+    shared = length - window + 1
 
     def run(batches):
         state: dict = {"dest": None, "runs": []}
@@ -306,7 +309,7 @@ def merge_runs(runs: DataFrame, splitters: list[bytes], spread: int) -> DataFram
 
         def settle(entries, opened):
             """entries: [string, members (text, at), multi]; opened: whether the entry's group goes on in another range."""
-            h, of, j, again = repeated_windows([(s, m or len(ms) > 1, ms[0][1] & 255) for s, ms, m in entries])
+            h, of, j, again = repeated_windows([(s, m or len(ms) > 1, ms[0][1] & 255) for s, ms, m in entries], length)
             edge = np.flatnonzero(again[1:] != again[:-1]) + 1
             cut = np.unique(np.concatenate([[0], edge, np.flatnonzero(np.diff(of)) + 1]))
             out = []
@@ -382,7 +385,7 @@ def merge_runs(runs: DataFrame, splitters: list[bytes], spread: int) -> DataFram
 
 
 def across(found: DataFrame) -> DataFrame:
-    """(no, first, last): windows of groups that splitters cut, if another range has the same 400 bytes."""
+    """(no, first, last): windows of groups that splitters cut, if another range has the same bytes."""
 
     def run(batches):
         now, held = None, []
@@ -408,7 +411,7 @@ def across(found: DataFrame) -> DataFrame:
     return in_batches(dealt, run, "no long, first long, last long")
 
 
-def stripped(texts: DataFrame) -> DataFrame:
+def stripped(texts: DataFrame, length: int) -> DataFrame:
     """(no, n_removed, n_spans, kept_sha256) of texts (no, text, first array, last array of repeated windows)."""
 
     def run(batches):
@@ -419,7 +422,7 @@ def stripped(texts: DataFrame) -> DataFrame:
                 first, last = (batch.column(k)[i].values.to_numpy() for k in (2, 3))
                 edge = np.zeros(len(text) + 1, np.int64)
                 np.add.at(edge, first, 1)
-                np.add.at(edge, last + LENGTH, -1)
+                np.add.at(edge, last + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 out.append((batch.column(0)[i].as_py(), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest()))
@@ -429,11 +432,12 @@ def stripped(texts: DataFrame) -> DataFrame:
     return in_batches(texts, run, "no long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row, repeated strings of 400 bytes removed.
+def repeats_removed(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row, repeated strings of `length` bytes removed.
 
-    Null texts are empty and, like all texts under 400 bytes, keep what they have; equal texts of 400 bytes or more are
+    Null texts are empty and, like all texts under `length` bytes, keep what they have; equal texts of that size or more are
     removed whole; repeated rows come back as often as they came; ids may be null; other columns are not read.
+    `window` (of 255 at most, and under `length` less the 16 bytes of a gram) sets how many windows share an anchor.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -441,10 +445,10 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = stored(rows.select("id", "md5", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "suffix-rows")
     groups = stored(slim.groupBy("md5").agg(F.count("*").alias("n"), F.min("id").alias("rep")), "suffix-texts")
 
-    long_rows = rows.where(F.octet_length("text") >= LENGTH)
-    once = groups.select(F.col("md5").alias("g_md5"), "rep")
-    found = anchor_rows(long_rows).join(once, (F.col("md5") == F.col("g_md5")) & F.col("id").eqNullSafe(F.col("rep"))).dropDuplicates(["md5", "id"])
-    found = stored(found.select(F.monotonically_increasing_id().alias("no"), "md5", "id", "keys", "at"), "suffix-anchors")
+    long_rows = rows.where(F.octet_length("text") >= length)
+    once = groups.select(F.col("md5").alias("g_md5"), "rep", "n")
+    found = anchor_rows(long_rows, length, window).join(once, (F.col("md5") == F.col("g_md5")) & F.col("id").eqNullSafe(F.col("rep"))).dropDuplicates(["md5", "id"])
+    found = stored(found.select(F.monotonically_increasing_id().alias("no"), "md5", "id", "n", "keys", "at"), "suffix-anchors")
     twice = found.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     twice = stored(twice, "suffix-keys")  # a side that is a plain exchange lets AQE split the key of a common passage
     left = found.select("no", F.explode(F.arrays_zip("keys", "at")).alias("x")).select("no", F.col("x.keys").alias("key"), F.col("x.at").alias("at"))
@@ -455,25 +459,58 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     spread = partitions(spark)
     total = texts.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
-    sample = sampled(texts, max(1, total // (SAMPLE * spread)))
+    sample = sampled(texts, max(1, total // (SAMPLE * spread)), length)
     splitters = sorted({sample[i * len(sample) // spread] for i in range(1, spread)}) if sample else []
-    merged_rows = stored(merge_runs(sorted_runs(texts, splitters, spread), splitters, spread), "suffix-merged")
+    merged_rows = stored(merge_runs(sorted_runs(texts, splitters, spread, length), splitters, spread, length, window), "suffix-merged")
     windows = merged_rows.where("kind = 0").select("no", "first", "last").unionByName(across(merged_rows))
     windows = windows.groupBy("no").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
-    alone = found.select("no", "md5").join(groups.where("n = 1").select("md5"), "md5")
-    cut = stripped(texts.select("no", "text").join(windows.join(alone, "no"), "no").select("no", F.col("text").cast("binary"), "first", "last"))
+    alone = found.where("n = 1").select("no", "md5")  # copies go whole
+    cut = stripped(texts.select("no", "text").join(windows.join(alone, "no"), "no").select("no", F.col("text").cast("binary"), "first", "last"), length)
     cut = cut.dropDuplicates(["no"]).join(alone, "no").drop("no")
-    out = slim.join(groups.select("md5", "n"), "md5").join(cut, "md5", "left")
-    whole = (F.col("n") > 1) & (F.col("n_bytes") >= LENGTH)
-    return out.select(
-        F.col("id").alias(id_col),
-        "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
-        F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
-        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-    )
+    # a text of many copies is a hot key only here, in a join of two stored tables, which AQE can split
+    marked = stored(slim.join(groups.where("n > 1").select("md5", F.lit(True).alias("copied")), "md5", "left"), "suffix-marked")
+    whole = F.col("copied") & (F.col("n_bytes") >= length)
+    copies = marked.where("copied").select(
+        "id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(0).cast("bigint").alias("n_removed"), F.when(whole, 1).otherwise(0).cast("bigint").alias("n_spans"),
+        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("sha")).alias("kept_sha256"),
+    )
+    singles = marked.where("copied is null").drop("copied").join(cut, "md5", "left")
+    singles = singles.select("id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("bigint")).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    return copies.unionByName(singles).withColumnRenamed("id", id_col)
+
+
+def word_codes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text): each word of a row's text as `CODE` ASCII characters, a hash of its bytes; a null text is empty."""
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+
+    def run(batches):
+        for batch in batches:
+            buf, offs = text_buffer(batch.column(1))
+            for a, b in pieces(offs):
+                part = buf[offs[a] : offs[b]]
+                starts, ends, first = spans(part, offs[a : b + 1] - offs[a], word_table())
+                codes = (hash_of(prefix_hash(part, byte_values()), starts, ends) & np.uint64(0x7F7F7F7F)).astype("<u4")
+                texts = pa.Array.from_buffers(pa.string(), b - a, [None, pa.py_buffer((first * CODE).astype(np.int32)), pa.py_buffer(codes.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), texts], [id_col, "text"])
+
+    return in_batches(rows, run, T.StructType([T.StructField(id_col, rows.schema[0].dataType), T.StructField("text", T.StringType())]))
+
+
+def passages(docs: DataFrame, words: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, passage_words) of every row: how many of its words stand in a passage of `words` words that also starts anywhere else.
+
+    The same merge sort over word codes instead of bytes, so spaces and line breaks between words do not matter.  Null
+    and empty texts have none; repeated rows come back as often as they came.
+    """
+    coded = stored(word_codes(docs, id_col, text_col), "word-codes")
+    return repeats_removed(coded, words * CODE, min(WINDOW, words * CODE // 2), id_col).select(id_col, F.expr(f"n_removed div {CODE}").alias("passage_words"))
 
 
 def op10_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated 400-byte strings of all `documents`."""
-    return repeats_removed(table(spark, sf_dir, "documents"))
+    """Repeated 400-byte strings of all `documents`, and the words of each in passages of over 50 words that repeat.
+
+    Rows that repeat a doc_id share the greatest passage_words of its rows.
+    """
+    docs = table(spark, sf_dir, "documents")
+    found = passages(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("passage_words").alias("passage_words"))
+    return stored(repeats_removed(docs), "suffix-bytes").join(found, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")

@@ -386,6 +386,21 @@ def test_repeats_removed(docs, rows):
     assert Counter(map(tuple, suffix_merge.repeats_removed(docs).collect())) == want
 
 
+def test_passages_of_words(spark, docs, rows):
+    """Passages of 51 words, spaced otherwise or not, at every place; 50 words are none."""
+    rng = random.Random(31)
+    p, q = words(rng, 51), words(rng, 50)
+    texts = [(100 + i, t) for i, t in enumerate([words(rng, 30) + " " + p, p.replace(" ", "  \n") + " " + words(rng, 9), "z " + q, q + " y", p[: len(p) // 2], words(rng, 70), "a b c d e " * 40])]
+    texts += [(r[0], r[1]) for r in rows]
+    split = [WORD.findall(t or "") for _, t in texts]
+    seen = Counter(tuple(w[i : i + 51]) for w in split for i in range(len(w) - 50))
+    want = Counter()
+    for (i, _), w in zip(texts, split, strict=True):
+        want[i, len({k + j for k in range(len(w) - 50) if seen[tuple(w[k : k + 51])] > 1 for j in range(51)})] += 1
+    got = Counter(map(tuple, suffix_merge.passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()))
+    assert got == want and want[100, 51] and want[101, 51] and want[102, 0]
+
+
 def test_loser_tree_merges_and_knows_prefixes():
     rng = random.Random(6)
     runs = [sorted(bytes(rng.choice(b"ab") for _ in range(rng.randint(3, 9))) for _ in range(rng.randint(0, 30))) for _ in range(5)]
