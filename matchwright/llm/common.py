@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,18 +74,53 @@ def first_of_class(ids: DataFrame, class_col: str, limit: int, name: str) -> Dat
     return stored(ranked.where(F.col("_n") <= limit).drop("_n").distinct(), name)
 
 
+def unite(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Joins the components of x[i] and y[i]; root holds each node's least node."""
+    while True:
+        a, b = root[x], root[y]
+        unlike = a != b
+        if not unlike.any():
+            return root
+        np.minimum.at(root, np.maximum(a, b)[unlike], np.minimum(a, b)[unlike])
+        while True:
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root = up
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """The edges (a, b) of each partition as stars (node, least node) with the same components: what a task holds is one partition of pairs of numbers."""
+
+    def run(batches):
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not got:
+            return
+        a, b = (np.concatenate(x) for x in zip(*got, strict=True))
+        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = unite(np.arange(len(nodes)), place[: len(a)], place[len(a) :])
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["a", "b"])
+
+    return in_batches(edges, run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (a, b), two bigint columns without nulls: (node, root), root the least node.
 
-    Alternating large-star and small-star steps; each step is two keyed aggregations and a sort-merge join that AQE
-    can split, and is written to the shared folder, so neither a hub nor a long chain gathers in one task or in the
-    lineage.  A chain of n nodes needs about log2(n) steps.  Nodes without an edge to another node are not returned.
+    Each partition's edges are contracted to stars, then large-star and small-star steps alternate; each step is two
+    keyed aggregations and a sort-merge join that AQE can split, and is written to the shared folder, so neither a hub
+    nor a long chain gathers in one task or in the lineage.  A chain of n nodes needs about log2(n) steps at most, edges
+    that fit one partition need one.  Nodes without an edge to another node are not returned.
     """
 
     def tally(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    def written(pairs: DataFrame) -> DataFrame:
+        return stored(contracted(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), "edges")
+
+    now = written(edges.where("a <> b"))
     seen = tally(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -91,7 +128,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        now = written(small.unionByName(least.select("a", F.col("m").alias("b"))))
         got = tally(now)
         if got == seen:
             break

@@ -48,8 +48,9 @@ def weight(level: str, weights: dict) -> Column:
     return out.cast("bigint")
 
 
-def order_key(epoch: Column, seed: int, id_col: str) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+def order_key(epoch: Column, seed: int, id_col: str | Column) -> Column:
+    name = F.col(id_col) if isinstance(id_col, str) else id_col
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(name.cast("string"), F.lit("null"))))
 
 
 def shared_out(nodes: DataFrame, parents: list[str], level: str, weights: dict) -> DataFrame:
@@ -75,7 +76,7 @@ def allocate(leaves: DataFrame, budget: int | None, share: float, max_epochs: in
     for level in LEVELS:
         nodes = leaves.groupBy(*parents, level).agg(F.sum("capacity").alias("capacity"))
         nodes = nodes.join(given, parents) if parents else nodes.crossJoin(given)  # one row
-        given = shared_out(nodes, parents, level, weights)
+        given = stored(shared_out(nodes, parents, level, weights), f"mixing-{level}")  # one row a node; a plan of all levels at once would be large
         parents = [*parents, level]
     return leaves.join(given, LEVELS)
 
@@ -102,7 +103,8 @@ def plan(docs: DataFrame, budget: int | None = None, share: float = 0.6, max_epo
     named = leaf_of(docs)
     count = F.coalesce(F.regexp_count(docs[text_col].cast("string"), F.lit(WORDS)), F.lit(0)).cast("bigint")
     rows = stored(docs.select(F.col(id_col), *[c.alias(k) for k, c in named.items()], count.alias("n_tokens")), "mixing-rows")
-    leaves = stored(allocate(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), budget, share, max_epochs, weights), "mixing-leaves")
+    leaves = stored(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "mixing-leaves")
+    leaves = allocate(leaves, budget, share, max_epochs, weights)
     return rows, stored(cuts(rows, leaves, seed, id_col), "mixing-cuts")
 
 
@@ -120,12 +122,20 @@ def mixed(docs: DataFrame, budget: int | None = None, share: float = 0.6, max_ep
 
 
 def mixed_once(docs: DataFrame, share: float = 0.9, weights: dict = WEIGHTS, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that the mixture takes when no document may come twice, with their own columns."""
+    """The rows of `docs` that the mixture takes when no document may come twice, with their own columns.
+
+    Null texts have no tokens and null languages and sources form leaves named `none`; rows that share an id (or have
+    none) within a leaf stand or fall together; ties in the order are rows of one id; an empty table gives no rows; the
+    columns of `docs` may have any names, as the budgets are joined as a column whose name no column of `docs` has.
+    """
     _, leaves = plan(docs, None, share, 1, weights, seed, id_col)
-    leaves = leaves.select(*[F.col(k).alias(f"_{k}") for k in LEVELS], F.col("full").alias("_full"), F.col("cut").alias("_cut"))
-    on = [c == F.col(f"_{k}") for k, c in leaf_of(docs).items()]
-    taken = (F.col("_full") > 0) | F.coalesce(order_key(F.lit(1), seed, id_col) <= F.col("_cut"), F.lit(False))
-    return docs.join(leaves, on).where(taken).select(*[docs[c] for c in docs.columns])
+    own = "x"
+    while own in {c.lower() for c in docs.columns}:
+        own += "x"
+    leaves = leaves.select(F.struct(*LEVELS, "full", "cut").alias(own))
+    on = [c == F.col(f"{own}.{k}") for k, c in leaf_of(docs).items()]
+    taken = (F.col(f"{own}.full") > 0) | F.coalesce(order_key(F.lit(1), seed, docs[id_col]) <= F.col(f"{own}.cut"), F.lit(False))
+    return docs.join(leaves, on).where(taken).drop(own)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, in_batches, stored, table
+from .common import components, in_batches, stored, table, unite
 from .textbytes import lower_table, mix, pieces, spans, text_buffer, word_table, xxh64
 
 #: Node pairs that a step of the trie walk expands at once.
@@ -70,21 +70,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
     return in_batches(rows, run, T.StructType([T.StructField(id_col, rows.schema[0].dataType), T.StructField("fingerprint", T.LongType())]))
 
 
-def unite(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Joins the components of x[i] and y[i]; root holds each node's least node."""
-    while True:
-        a, b = root[x], root[y]
-        unlike = a != b
-        if not unlike.any():
-            return root
-        np.minimum.at(root, np.maximum(a, b)[unlike], np.minimum(a, b)[unlike])
-        while True:
-            up = root[root]
-            if np.array_equal(up, root):
-                break
-            root = up
-
-
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 

@@ -215,9 +215,9 @@ def test_base_counts(docs, rows):
 
 def test_viterbi_against_all_labellings():
     rng = np.random.default_rng(0)
-    field = line_crf.Field(rng.normal(size=12), rng.normal(size=2), rng.normal(size=(2, 2)))
+    field = line_crf.Field(rng.normal(size=len(line_crf.FEATURES)), rng.normal(size=2), rng.normal(size=(2, 2)))
     first = np.array([0, 1, 1, 5, 12])
-    x = rng.normal(size=(12, 12))
+    x = rng.normal(size=(12, len(line_crf.FEATURES)))
     got = line_crf.viterbi(field, x, first)
     for a, b in zip(first, first[1:], strict=False):
         if b > a:
@@ -225,6 +225,61 @@ def test_viterbi_against_all_labellings():
             assert tuple(got[a:b]) == max(itertools.product((0, 1), repeat=b - a), key=score)
 
 
+def test_line_field_gradient():
+    """Forward-backward against all labellings, and the gradient against differences."""
+    rng = np.random.default_rng(1)
+    k = len(line_crf.FEATURES)
+    first, x = np.array([0, 1, 1, 4, 6]), rng.normal(size=(6, k))
+    steps, theta = line_crf.chains(first), rng.normal(size=k + 6)
+    content, begin, trans = x @ theta[:k], theta[k : k + 2], theta[k + 2 :].reshape(2, 2)
+    p1, start, pairs, z = np.zeros(6), np.zeros(2), np.zeros((2, 2)), 0.0
+    for a, b in ((0, 1), (1, 4), (4, 6)):
+        ways = list(itertools.product((0, 1), repeat=b - a))
+        w = np.exp([begin[y[0]] + sum(trans[p, q] for p, q in zip(y, y[1:], strict=False)) + sum(s * content[a + i] for i, s in enumerate(y)) for y in ways])
+        z += np.log(w.sum())
+        for y, part in zip(ways, w / w.sum(), strict=True):
+            p1[a:b] += part * np.array(y)
+            start[y[0]] += part
+            for p, q in zip(y, y[1:], strict=False):
+                pairs[p, q] += part
+    got = line_crf.posteriors(content, begin, trans, steps)
+    assert all(np.allclose(g, w) for g, w in zip(got, (p1, start, pairs, z), strict=True))
+    wanted = line_crf.posteriors(rng.normal(size=6), rng.normal(size=2), rng.normal(size=(2, 2)), steps)[:3]
+    _, grad = line_crf.likelihood(theta, x, steps, wanted)
+    for i in range(len(theta)):
+        e = np.zeros(len(theta))
+        e[i] = 1e-5
+        up, down = (line_crf.likelihood(theta + d, x, steps, wanted)[0] for d in (e, -e))
+        assert abs((up - down) / 2e-5 - grad[i]) < 1e-6
+
+
+def test_planted_boilerplate_lines(spark):
+    """Lines of boilerplate within good texts are labelled as such, clean first lines of poor texts as content; labels are known for whole documents only."""
+    rng = random.Random(12)
+    good, bad, planted = [], [], {}
+    for i in range(120):
+        lines = [words(rng, 14).capitalize() + "." for _ in range(9)]
+        if i % 3 == 0:
+            planted[i] = rng.sample(range(9), 3)
+            for at in planted[i]:
+                lines[at] = rng.choice(["All rights reserved. Copyright login | cookies | privacy", "### " + " | ".join(words(rng, 6).split()), "SUBSCRIBE NOW!! CLICK HERE!! " + words(rng, 3).upper() + "!!"])
+        good.append("\n".join(lines))
+    for i in range(60):
+        lines = [" | ".join(words(rng, 9).split()) if i % 2 else " ".join(w.upper() + "!!" for w in words(rng, 9).split()) for _ in range(7)]
+        bad.append("\n".join([words(rng, 14).capitalize() + ".", *lines]))
+    docs = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 120)) for i in range(180)], "doc_id long, quality int")
+    field = line_crf.train(docs, labels, max_lines=4, max_windows=2)
+    got = {}
+    for r in sorted(line_crf.line_labels(docs, field).collect(), key=lambda r: (r.doc_id, r.start_byte)):
+        got.setdefault(r.doc_id, []).append(r.content)
+    wrong = {i: (planted.get(i), got[i]) for i in range(120) if got[i] != [at not in planted.get(i, ()) for at in range(9)]}
+    assert not wrong, (len(wrong), list(wrong.items())[:4], field)
+    assert all(got[i] == [True] + [False] * 7 for i in range(120, 180))
+    assert {r.doc_id for r in line_crf.quality(docs, field).where("kept").collect()} == set(range(120))
+    assert line_crf.line_labels(docs.limit(0), field).count() == 0
+
+
 def test_line_field_learns(spark):
     rng = random.Random(2)
     good = ["\n".join(words(rng, 12).capitalize() + "." for _ in range(8)) for _ in range(30)]
@@ -285,6 +340,32 @@ def test_mixing(spark, docs):
     assert mixing.mixed(docs.limit(0)).count() == 0 and set(mixing.mixed_once(docs).columns) == set(docs.columns)
 
 
+def test_mixed_once_matches_brute_force(spark):
+    """The rows of each leaf are the prefix of its seeded order that its budget covers; clashing names, nulls and repeated rows."""
+    rng = random.Random(77)
+    rows = [(i if i % 17 else None, words(rng, rng.randint(0, 40)) if i % 11 else None, ("en", "de", None)[i % 3], f"src{i % 4}", i, "c") for i in range(300)]
+    rows += rows[30:40]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, full long, _cut string")
+    _, leaves = mixing.plan(docs, None, 0.6, 1)
+    budgets = {tuple(r[k] for k in mixing.LEVELS): r.budget for r in leaves.collect()}
+    assert sum(budgets.values()) == sum(len(WORD.findall(r[1] or "")) for r in rows) * 600 // 1000
+    by_leaf = {}
+    for r in rows:
+        source = r[3]
+        leaf = (f"domain{int(hashlib.md5(source.encode()).hexdigest()[0], 16) % 3}", r[2] or "none", source)
+        by_leaf.setdefault(leaf, {}).setdefault(hashlib.md5(f"{mixing.SEED}:1:{'null' if r[0] is None else r[0]}".encode()).hexdigest(), []).append(r)
+    want, full = Counter(), {tuple(r[k] for k in mixing.LEVELS): r.full for r in leaves.collect()}
+    for leaf, keys in by_leaf.items():
+        left = budgets[leaf]
+        for k in sorted(keys):
+            left -= sum(len(WORD.findall(r[1] or "")) for r in keys[k])
+            if full[leaf] or left >= 0:
+                want.update(keys[k])
+    got = mixing.mixed_once(docs, 0.6)
+    assert got.columns == docs.columns and Counter(map(tuple, got.collect())) == want
+    assert mixing.mixed_once(docs.limit(0)).count() == 0
+
+
 def test_shortage_goes_to_siblings_first(spark):
     leaves = spark.createDataFrame([("domain0", "en", "a", 10), ("domain0", "en", "b", 100), ("domain1", "en", "c", 100)], "domain string, lang string, source string, tokens long")
     got = {r.source: r.budget for r in mixing.allocate(leaves, 120, 0, 1, {"domain": {}}).collect()}
