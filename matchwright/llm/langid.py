@@ -4,8 +4,14 @@ A text is the average of the embeddings of its hashed 3- and 4-byte subwords (le
 characters to one space), followed by a linear layer.  Training is stochastic gradient descent in numpy on the driver,
 over a bounded sample: at most `per_lang` documents of a language, chosen by a hash of their ids, of which executors
 send only bucket counts.  Since both layers are linear, the trained model is one table of logits per bucket; a
-prediction is an average of table rows over the whole text.  A temperature is fitted on a fifth of the sample, and the
-rejection threshold is the largest that still accepts `accept` of it.
+prediction is an average of table rows over the whole text.  A temperature is fitted on a fifth of the sample,
+and on pairs of its texts in two languages, which should come out as one half each.
+
+Rejection is calibrated on that fifth, language by language, and asks for two things.  The calibrated probability must
+reach the threshold that still accepts `accept` of the language, between `LEAST` and `MOST`: texts of several languages fail
+here.  And the text's subwords must be usual ones of the language: their mean log frequency may fall short of the
+language's mean by what the held-out documents show, plus three standard errors for the text's length: other languages,
+other scripts and noise, which a softmax over known languages has to call one of them, fail here.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ LENGTHS = (3, 4)
 DIM, EPOCHS, RATE, SEED = 16, 12, 4.0, 3
 #: Documents of each language that training reads at most.
 PER_LANG = 400
+#: Bounds of the least probability of an accepted text, and shortfall in mean log frequency (natural) that is always granted.
+LEAST, MOST, GRANTED = 0.5, 0.8, 0.7
 
 
 def folded(buf: np.ndarray) -> np.ndarray:
@@ -71,13 +79,17 @@ def has_letter(column, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Logits per bucket (last row: zeros) and language, offsets, temperature and rejection threshold."""
+    """Logits per bucket (last row: zeros) and language, offsets, temperature; per language the least probability, the
+    log frequencies of the buckets (last row: zeros), the least mean of them, and their deviation at a position."""
 
     langs: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
-    threshold: float
+    threshold: np.ndarray
+    usual: np.ndarray
+    floor: np.ndarray
+    spread: np.ndarray
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -89,7 +101,8 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], accept: float) -> Model:
     """Trains on (language, buckets, counts) rows; every fifth row of a language calibrates."""
     langs = sorted({r[0] for r in rows})
     if not langs:
-        return Model([], np.zeros((BUCKETS * len(LENGTHS) + 1, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        none = np.zeros((BUCKETS * len(LENGTHS) + 1, 0), np.float32)
+        return Model([], none, np.zeros(0), 1.0, np.zeros(0), none, np.zeros(0), np.zeros(0))
     rng = np.random.Generator(np.random.PCG64(SEED))
     emb = rng.normal(0, 0.1, (BUCKETS * len(LENGTHS), DIM))
     out, bias = rng.normal(0, 0.1, (len(langs), DIM)), np.zeros(len(langs))
@@ -116,10 +129,26 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], accept: float) -> Model:
     raw = np.array([w @ logits[idx].astype(np.float64) + bias for _, idx, w in held])
     ys = np.array([y for y, _, _ in held])
     grid = np.geomspace(0.1, 10, 41)
-    loss = [-np.log(np.maximum(softmax(raw / t)[np.arange(len(ys)), ys], 1e-12)).mean() for t in grid]
+    target = np.eye(len(langs))[ys]
+    half = np.array([(i, j) for i, j in zip(range(len(ys)), rng.permutation(len(ys)).tolist(), strict=True) if ys[i] != ys[j]], np.int64).reshape(-1, 2)
+    both = np.concatenate([raw, raw[half].mean(axis=1)]), np.concatenate([target, target[half].mean(axis=1)])
+    loss = [-(both[1] * np.log(np.maximum(softmax(both[0] / t), 1e-12))).sum(axis=1).mean() for t in grid]
     best = float(grid[int(np.argmin(loss))])
-    sure = np.sort(softmax(raw / best).max(axis=1))
-    return Model(langs, logits, bias, best, float(min(0.5, sure[int((1 - accept) * len(sure))])))
+    sure = softmax(raw / best)[np.arange(len(ys)), ys]
+    seen_in = np.full((BUCKETS * len(LENGTHS), len(langs)), 0.5)
+    for lang, idx, counts in rows:
+        seen_in[idx, langs.index(lang)] += counts
+    usual = np.concatenate([np.log(seen_in / seen_in.sum(axis=0)), np.zeros((1, len(langs)))]).astype(np.float32)
+    threshold, floor, spread = np.full(len(langs), LEAST), np.full(len(langs), -np.inf), np.ones(len(langs))
+    for j in range(len(langs)):
+        own = [(idx, w) for y, idx, w in held if y == j]
+        if own:
+            least = lambda x: np.sort(x)[int((1 - accept) * len(x))]
+            means = np.array([w @ usual[idx, j] for idx, w in own])
+            threshold[j] = min(max(LEAST, least(sure[ys == j])), MOST)
+            floor[j] = min(np.median(means) - GRANTED, least(means))
+            spread[j] = np.sqrt(np.mean([w @ (usual[idx, j] - m) ** 2 for (idx, w), m in zip(own, means, strict=True)]))
+    return Model(langs, logits, bias, best, threshold, usual, floor, spread)
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, accept: float = 0.995, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -161,6 +190,22 @@ def probabilities(model: Model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray
     return softmax((sums / np.maximum(count, 1)[:, None] + model.bias) / model.temperature)
 
 
+def accepted(model: Model, p: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Whether the most probable language of each text is accepted (see the module)."""
+    n, top = len(offs) - 1, p.argmax(axis=1)
+    sums, count = np.zeros(n), np.zeros(n)
+    full = np.flatnonzero(offs[1:] > offs[:-1])
+    if len(full):
+        lang = np.repeat(top, np.diff(offs))
+        for length, h in zip(LENGTHS, subwords(buf, offs), strict=True):
+            sums[full] += np.add.reduceat(model.usual[h, lang], offs[:-1][full], dtype=np.float64)
+            count += np.maximum(offs[1:] - offs[:-1] - length + 1, 0)
+    enough = np.maximum(count, 1)
+    # neighbouring subwords overlap, so a text has about a sixth as many independent ones
+    usual = sums / enough >= model.floor[top] - 3 * model.spread[top] / np.sqrt(np.maximum(enough / 6, 1))
+    return usual & (p[np.arange(n), top] >= model.threshold[top])
+
+
 def predictions(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """`docs` with `lang_pred`, `lang_score` and `lang_accepted` after its own columns (a clash of names raises).
 
@@ -176,7 +221,7 @@ def predictions(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
     def run(batches):
         for batch in batches:
             buf, offs = text_buffer(batch.column(at))
-            lang, score = np.full(len(offs) - 1, "und", object), np.zeros(len(offs) - 1)
+            lang, score, ok = np.full(len(offs) - 1, "und", object), np.zeros(len(offs) - 1), np.zeros(len(offs) - 1, bool)
             if model.langs:
                 letters = has_letter(batch.column(at), buf, offs)
                 for a, b in pieces(offs):
@@ -184,7 +229,7 @@ def predictions(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
                     top = p.argmax(axis=1)
                     lang[a:b] = np.where(letters[a:b], np.array(model.langs, object)[top], "und")
                     score[a:b] = np.where(letters[a:b], p[np.arange(b - a), top], 0.0)
-            ok = (score >= model.threshold) & (lang != "und")
+                    ok[a:b] = letters[a:b] & accepted(model, p, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(ok)], names=[f.name for f in schema])
 
     return in_batches(docs, run, schema)

@@ -304,6 +304,36 @@ def test_language_id(spark):
         langid.predictions(docs.withColumnRenamed("lang", "lang_pred"), model)
 
 
+def test_language_rejection_and_logits(spark):
+    """Held-out texts are accepted, other scripts, noise and halves of two languages are not; scores against a loop over subwords."""
+    rng = random.Random(40)
+    stems = {"en": "the and ing ther tion of to in er on".split(), "de": "der die und sch ung eit lich en ge ver".split(), "es": "que los ado cion mente de la el ar os".split()}
+    make = lambda lang, n: " ".join("".join(rng.choice(stems[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    data = [(i, make(lang, rng.randint(8, 120)), lang) for i, lang in enumerate(["en", "de", "es"] * 200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.train(docs.where(~langid.held_out()))
+    held = langid.predictions(docs.where(langid.held_out()), model).collect()
+    assert sum(r.lang_accepted and r.lang_pred == r.lang for r in held) >= 0.99 * len(held) > 100
+    odd = ["Съешь же ещё этих мягких французских булок " * n for n in (1, 20)] + ["".join(rng.choice("bcfhjkmpqvwxz ") for _ in range(n)) for n in (60, 900)] + [make(a, 60) + " " + make(b, 60) for a, b in (("en", "de"), ("es", "en"), ("de", "es"))] + ["我能吞下玻璃而不伤身体", None, "", "12 34"]
+    got = langid.predictions(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model).collect()
+    assert not any(r.lang_accepted for r in got) and len(got) == len(odd)
+
+    def probability(text):
+        x = langid.folded(np.frombuffer(text.encode(), np.uint8)).tolist()
+        rows = []
+        for k, n in enumerate(langid.LENGTHS):
+            for i in range(len(x) - n + 1):
+                w = sum(x[i + j] << 8 * j for j in range(n))
+                rows.append((((w ^ w >> 15) * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - (langid.BUCKETS.bit_length() - 1)) + k * langid.BUCKETS)
+        z = (model.table[rows].astype(float).mean(axis=0) + model.bias) / model.temperature
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    texts = {r[0]: r[1] for r in data}
+    for r in held[:40]:
+        p = probability(texts[r.doc_id])
+        assert abs(p.max() - r.lang_score) < 1e-6 and model.langs[int(p.argmax())] == r.lang_pred
+
+
 def test_warc_round_trip(spark):
     odd = "x" * 900 + "\r\n\r\nWARC/1.1\r\n" * 3 + "é" * 1000
     rows = [(1, "u", "a" * 5000), (2, "u", "a" * 5000), (3, None, None), (4, "u\r\nX: y", ""), (5, "u", odd), (None, "n", "zzz"), (6, "u", "WARC/1.1\r\n"), (6, "u", "WARC/1.1\r\n")]
