@@ -293,7 +293,7 @@ def similar(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, shingle
     block against block, whatever is still apart.  Texts without a word have no edges; ids and labels are integers, one
     row each.
     """
-    banded = stored(nodes.select("id", "label", "size", F.explode("bands").alias("bucket")), "bands")
+    banded = nodes.select("id", "label", "size", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket", "n")
     met = stored(banded.join(shared, "bucket"), "buckets")
     few = met.where(F.col("n") <= SMALL)
@@ -301,7 +301,7 @@ def similar(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, shingle
     like = (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
     pairs = stored(one.join(two, "bucket").where(like).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "label_a", "label_b").distinct(), "pairs")
     many = met.where(F.col("n") > SMALL).select("bucket", "id", "label", "n")
-    named = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(many.select("id")).distinct().join(nodes.select("id", "md5"), "id"), "named")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(many.select("id")).distinct().join(nodes.select("id", "md5"), "id")
     texts = stored(texts.join(named, ["id", "md5"], "left_semi").dropDuplicates(["id", "md5"]).select("id", "text"), "paired-texts")
 
     def checked(batches):
@@ -371,7 +371,7 @@ def deduplicated(docs: DataFrame, shingle: int = 5, budget: int = 3, similarity:
     prints = stored(prints.groupBy("id").agg(F.min(F.struct("md5", "fingerprint", "size", "bands")).alias("x")).select("id", "x.*"), "sketches")
     named = stored(classes(prints, budget, "id").withColumnRenamed("component_id", "label"), "classes")
     first = named.where("size > 0").groupBy("md5").agg(F.min("id").alias("first")).select("first")
-    nodes = named.join(first, F.col("id") == F.col("first")).select("id", "md5", "label", "size", "bands")
+    nodes = stored(named.join(first, F.col("id") == F.col("first")).select("id", "md5", "label", "size", "bands"), "nodes")
     edges = similar(nodes, keyed_texts(docs, id_col, text_col), similarity, shingle, seed)
     moved = components(edges.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).where("node <> root").select(F.col("node").alias("id"))
     kept = named.where("id = label").select("id", "md5").join(moved, "id", "left_anti")
