@@ -1,27 +1,30 @@
 """Operator 4: WARC archives by way of a chunked record table.
 
-A payload is never one row of the archive: it is cut into chunks of at most `CHUNK` bytes, rows of (record, chunk
-number), and each chunk is written as a WARC record of its own, the first as `response`, later ones as `continuation`
-with a segment number, as the WARC standard provides for.  Records end with CR LF CR LF, which is the writer's line
-separator, so Spark's own text writer makes the archives wherever Spark can write.  They are read by the separator
-CR LF CR LF WARC/1.1 CR LF; a payload that holds the version line is cut inside it, so the separator occurs only between
-records.  Reading deals the chunks by record, sorts them by number, and carries an incremental SHA-1 from row to row.
+A payload is never one row of the archive: it is cut by the JVM into chunks of at most `CHUNK` bytes, rows of (record,
+chunk number), which alone go to Python.  Each chunk is written as a WARC record of its own, the first as `response`,
+later ones as `continuation` with a segment number, as the WARC standard provides for.  Every record is a gzip member, so
+an archive can be read from any record on, and an empty gzip member follows each, which is the line separator of Spark's
+own text writer and reader: the archives are written wherever Spark can write, are valid gzip as they stand, and are split
+between tasks when they are read.  (A record cannot hold that separator: UTF-8 has no 0x8B after 0x1F.)  Reading deals
+the chunks by record, sorts them by number, and carries an incremental SHA-1 from row to row.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, in_batches, stored, table
 
 CHUNK = 1 << 20
-END, HEAD = b"\r\n\r\n", b"WARC/1.1\r\n"
+END = b"\r\n\r\n"
+#: An empty gzip member.
+EMPTY = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes of rows that a worker gathers before it hands them on.
 HOLD = 4 << 20
@@ -34,28 +37,16 @@ def base32_sha1(binary: Column) -> Column:
     return F.translate(F.upper(F.concat(*parts)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def cut(payload: memoryview, chunk: int) -> list[tuple[int, int]]:
-    """Spans of at most `chunk` bytes, with a cut inside every version line; one empty span for an empty payload."""
-    stops, at = [], 0
-    raw = payload.obj
-    while (at := raw.find(HEAD, at)) >= 0:
-        at += len(b"WARC")
-        stops.append(at)
-    out, at = [], 0
-    for stop in [*stops, len(payload)]:
-        while stop - at > chunk:
-            out.append((at, at + chunk))
-            at += chunk
-        out.append((at, stop))
-        at = stop
-    return out
+def member(record: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(record) + packer.flush()
 
 
 def write_warc(pages: DataFrame, path: str, least: int = 0, chunk: int = CHUNK, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """One record per row of `pages`.
 
     Of equal payloads of at least `least` bytes, the row with the smallest id is a response and the others revisits of
-    it, without a block; a null payload is empty; null ids and URLs are written as `null`, and payloads that only
+    it, without a block; a null payload is empty; a payload of any size is cut into chunks before Python sees it; null ids and URLs are written as `null`, and payloads that only
     rows without an id hold are all responses; repeated rows make repeated records; other columns are not written.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
@@ -64,75 +55,66 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, chunk: int = CHUNK,
     firsts = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
     rows = rows.join(stored(firsts, "warc-copies"), ["digest", "size"], "left")
     rows = rows.withColumn("refers_to", F.when(~F.coalesce(F.col("id") == F.col("first"), F.lit(False)), F.col("first").cast("string")))
-    rows = rows.select("name", "url", "digest", "refers_to", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "name", "url", "digest", "refers_to", "payload", F.when(F.col("refers_to").isNull(), F.col("size")).otherwise(0).alias("size"))
+    rows = rows.withColumn("chunks", F.greatest(F.ceil(F.col("size") / chunk), F.lit(1))).withColumn("k", F.explode(F.expr("sequence(1L, chunks)")))
+    data = F.when(F.col("size") > 0, F.expr(f"substring(payload, cast((k - 1) * {chunk} + 1 as int), {chunk})")).otherwise(F.lit(b""))
+    rows = rows.select("row", "name", "url", "digest", "refers_to", "size", "chunks", "k", data.alias("data"))
 
     def run(batches):
-        task, row, out, size = TaskContext.get().partitionId(), 0, [], 0
+        clean = lambda s: "null" if s is None else "".join(c if c >= " " else "?" for c in s)
         for batch in batches:
+            out = []
             for i in range(batch.num_rows):
-                name, url, digest, refers = (batch.column(k)[i].as_py() for k in range(4))
-                data = batch.column(4)[i].as_py() or b""
-                clean = lambda s: "null" if s is None else "".join(c if c >= " " else "?" for c in s)
-                common = f"WARC-Date: {DATE}\r\nWARC-Target-URI: {clean(url)}\r\nX-Page-ID: {clean(name)}\r\nX-Row: {task}-{row}\r\n"
-                row += 1
-                view = memoryview(data)
-                spans = cut(view, chunk)
-                for k, (a, b) in enumerate(spans, 1):
-                    kind = "revisit" if refers is not None else "response" if k == 1 else "continuation"
-                    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{clean(name)}{f':{k}' if k > 1 else ''}>\r\n{common}"
-                    block = b""
-                    if k == 1:
-                        head += f"WARC-Payload-Digest: sha1:{digest}\r\nContent-Type: application/http; msgtype=response\r\n"
-                        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-                    if refers is not None:
-                        head += f"WARC-Refers-To: <urn:page:{clean(refers)}>\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"
-                    if len(spans) > 1:
-                        head += f"WARC-Segment-Number: {k}\r\n"
-                        if k > 1:
-                            head += f"WARC-Segment-Origin-ID: <urn:page:{clean(name)}>\r\n"
-                        if k == len(spans):
-                            head += f"WARC-Segment-Total-Length: {len(data)}\r\n"
-                    out.append(head.encode() + f"Content-Length: {len(block) + b - a}\r\n\r\n".encode() + block + bytes(view[a:b]))
-                    size += len(out[-1])
-                    if size > HOLD:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-                        out, size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                row, name, url, digest, refers, size, chunks, k = (batch.column(c)[i].as_py() for c in range(8))
+                kind = "revisit" if refers is not None else "response" if k == 1 else "continuation"
+                head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{clean(name)}{f':{k}' if k > 1 else ''}>\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: {clean(url)}\r\nX-Page-ID: {clean(name)}\r\nX-Row: {row}\r\n"
+                block = b""
+                if k == 1:
+                    head += f"WARC-Payload-Digest: sha1:{digest}\r\nContent-Type: application/http; msgtype=response\r\n"
+                    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+                if refers is not None:
+                    head += f"WARC-Refers-To: <urn:page:{clean(refers)}>\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"
+                if chunks > 1:
+                    head += f"WARC-Segment-Number: {k}\r\n"
+                    if k > 1:
+                        head += f"WARC-Segment-Origin-ID: <urn:page:{clean(name)}>\r\n"
+                    if k == chunks:
+                        head += f"WARC-Segment-Total-Length: {size}\r\n"
+                block += batch.column(8)[i].as_py()
+                out.append(member(head.encode() + f"Content-Length: {len(block)}\r\n\r\n".encode() + block + END))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     # bytes go through the text writer as they are: a cast of binary to string does not look at them
     records = in_batches(rows, run, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
+    records.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).text(path)
 
 
 def record_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The chunked record table of archives: (row, page, kind, refers, chunk, last, size, digest, data).
+    """The chunked record table of archives: (row, page, kind, refers, chunk, total, size, digest, data).
 
-    A record that is whole in one chunk has its digest and no data; the chunks of others have data.  A block that is
-    shorter than its Content-Length raises.
+    A record that is whole in one chunk has its digest and no data; the chunks of others have data.  A header without an
+    end and a block that is shorter than its Content-Length raise; an empty archive has no rows.
     """
-    lines = spark.read.option("lineSep", (END + HEAD).decode()).text(path).select(F.col("value").cast("binary").alias("value"))
+    lines = spark.read.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).text(path).select(F.col("value").cast("binary").alias("value"))
 
     def run(batches):
         for batch in batches:
             out, size = [], 0
             for value in batch.column(0):
-                raw = value.as_buffer()
-                view = memoryview(raw)
-                if not len(view):
+                if not len(value.as_buffer()):
                     continue
-                at, known = -1, 4096
-                while (at := (whole := view[:known].tobytes()).find(END)) < 0 and known < len(view):
-                    known *= 4
+                raw = zlib.decompress(value.as_buffer(), 31)
+                at = raw.find(END)
                 if at < 0:
-                    raise ValueError(f"record without the end of a header: {whole[:200]!r}")
-                fields = dict(x.split(": ", 1) for x in whole[:at].decode().split("\r\n") if ": " in x)
+                    raise ValueError(f"record without the end of a header: {raw[:200]!r}")
+                fields = dict(x.split(": ", 1) for x in raw[:at].decode().split("\r\n") if ": " in x)
                 length = int(fields["Content-Length"])
-                block = view[at + 4 : at + 4 + length]
+                block = memoryview(raw)[at + 4 : at + 4 + length]
                 if len(block) < length:
                     raise ValueError(f"record {fields.get('WARC-Record-ID')} is cut off")
                 kind, chunk = fields["WARC-Type"], int(fields.get("WARC-Segment-Number", 0))
                 if kind != "continuation":
-                    block = block[block[:4096].tobytes().find(END) + 4 :]
+                    block = block[raw.find(END, at + 4) - at :]
                 data, digest = None, None
                 if kind == "revisit":
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -199,7 +181,11 @@ def assembled(chunks: DataFrame) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record; a revisit has the size of the response it refers to."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record; a revisit has the size of the response it refers to.
+
+    Ids written as `null` come back null; records of repeated rows come back as often as they were written; a revisit
+    whose response is not in the archives has no size; an empty archive has no rows.
+    """
     records = stored(assembled(record_chunks(spark, path)), "warc-records")
     sizes = records.where("kind = 'response' and page is not null").groupBy("page", "payload_digest").agg(F.min("payload_bytes").alias("full_bytes")).withColumnRenamed("page", "refers")
     whole = records.where("kind = 'response'").withColumn("full_bytes", F.col("payload_bytes"))
