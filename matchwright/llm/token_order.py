@@ -1,7 +1,9 @@
 """Operator 7: token sequences materialised in training order.
 
-Texts become token ids of a public byte-level BPE, each followed by the end-of-text id, and are packed into sequences
-of `LENGTH` ids as they are read; the last sequence of an input partition is padded with `PAD`.  A keyed Feistel network
+Texts become token ids of a public byte-level BPE, each followed by the end-of-text id.  In the order of the input's
+files and rows, however they are split between tasks, they form one stream, of which each `LENGTH` ids are a sequence;
+the last one is padded with `PAD`.  Tasks know their place in the stream from the token counts of the splits before
+them; sequences that several splits share are put together where they are written.  A keyed Feistel network
 on an even number of bits, walked along its cycle until it falls below the number of sequences, is a bijection from
 sequence numbers to slots, so each sequence knows its place in training without a sort or a table.  Slots are dealt in
 ranges; a range is one shard, a file of little-endian 16-bit ids with a fixed stride, so slot s is found by arithmetic
@@ -18,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 EOT, PAD = 50256, 65535
 LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 4096, 7, 6
+#: Shards that a task writes.
+PER_TASK = 8
 #: Bytes of text tokenised at once, sequences in a packed row, and distinct chunks whose ids a worker remembers.
 PIECE, PACK, REMEMBER = 4 << 20, 512, 400_000
 
@@ -103,48 +108,66 @@ class Tokens:
 
 
 def pressed(ids: np.ndarray) -> bytes:
-    """Rows of 16-bit ids, compressed as they stand: common words repeat whole runs of ids."""
+    """16-bit ids, compressed as they stand: common words repeat whole runs of ids."""
     import zstandard
 
     return zstandard.ZstdCompressor(level=3).compress(ids.astype("<u2").tobytes())
 
 
-def unpressed(blob: bytes, length: int) -> np.ndarray:
+def unpressed(blob: bytes) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u2").reshape(-1, length)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u2")
+
+
+def placed_texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(file, row, text): where each text stands in the input; a table that is no Parquet file has its partitions in place of files."""
+    text = F.col(text_col).cast("string").alias("text")
+    try:
+        rows = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), text)
+        rows.schema  # noqa: B018  resolves the columns
+        return rows
+    except AnalysisException:
+        return docs.select(F.lpad(F.spark_partition_id().cast("string"), 10, "0").alias("file"), F.monotonically_increasing_id().alias("row"), text)
 
 
 def packed(docs: DataFrame, ranks: dict[bytes, int], length: int = LENGTH, text_col: str = "text") -> DataFrame:
-    """(part, first, n, ids): runs of n packed sequences of an input partition, from its sequence number `first` on."""
+    """(file, split, first, n, ids): runs of n token ids, from the token number `first` of a split of a file on; a split is named by its first row."""
 
     def run(batches):
-        part, first, rest, tokens = TaskContext.get().partitionId(), 0, [], Tokens(ranks)
-        held = 0
+        tokens, rest, held, first, now, split, last = Tokens(ranks), [], 0, 0, None, 0, -1
 
-        def out(ids):
-            nonlocal first
+        def out():
+            nonlocal rest, held, first
+            ids = np.concatenate(rest) if rest else np.zeros(0, "<u2")
             for k in range(0, len(ids), PACK * length):
                 block = ids[k : k + PACK * length]
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([len(block) // length], pa.int64()), pa.array([pressed(block)], pa.binary())], ["part", "first", "n", "ids"])
-                first += len(block) // length
+                yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([split], pa.int64()), pa.array([first], pa.int64()), pa.array([len(block)], pa.int64()), pa.array([pressed(block)], pa.binary())], ["file", "split", "first", "n", "ids"])
+                first += len(block)
+            rest, held = [], 0
 
         for batch in batches:
-            buf, offs = text_buffer(batch.column(0))
-            for a, b in pieces(offs, PIECE):
-                ids, _ = tokens.ids(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                rest.append(ids)
-                held += len(ids)
-                if held >= PACK * length:
-                    ids = np.concatenate(rest)
-                    whole = len(ids) - len(ids) % length
-                    yield from out(ids[:whole])
-                    rest, held = [ids[whole:]], len(ids) - whole
-        if held:
-            ids = np.concatenate(rest)
-            yield from out(np.concatenate([ids, np.full(-len(ids) % length, PAD, "<u2")]))
-
-    return in_batches(docs.select(F.col(text_col).cast("string")), run, "part int, first long, n long, ids binary")
+            buf, offs = text_buffer(batch.column(2))
+            files, rows = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+            codes = files.indices.to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(codes) != 0) | (np.diff(rows) < 0)) + 1).tolist(), len(rows)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                name = files.dictionary[int(codes[i])].as_py()
+                if name != now or rows[i] < last:  # another split begins
+                    yield from out()
+                    now, split, first = name, int(rows[i]), 0
+                last = rows[j - 1]
+                for a, b in pieces(offs[i : j + 1], PIECE):
+                    ids, _ = tokens.ids(buf[offs[i + a] : offs[i + b]], offs[i + a : i + b + 1] - offs[i + a])
+                    rest.append(ids)
+                    held += len(ids)
+                    if held >= PACK * length:
+                        yield from out()
+        yield from out()
+
+    return in_batches(placed_texts(docs, text_col), run, "file string, split long, first long, n long, ids binary")
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -155,75 +178,87 @@ def write_shards(docs: DataFrame, path: str, ranks: dict[bytes, int], length: in
     """Writes all texts as shards under `path`; the manifest (shard, first_slot, n, crc32, sequences in all) is returned.
 
     Null and empty texts are one end-of-text id; an empty table writes nothing; repeated rows are written as often as
-    they come; other columns are not read.  Numbers of sequences follow the input's files and splits.
+    they come; other columns are not read.  Sequences are numbered along the input's files and rows, whatever its splits.
     """
     packs = stored(packed(docs, ranks, length, text_col), "token-packs")
-    sizes = packs.groupBy("part").agg(F.sum("n").alias("own"))  # a row for each input partition
-    everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sizes = sizes.select("part", (F.sum("own").over(everything.rowsBetween(Window.unboundedPreceding, 0)) - F.col("own")).alias("base"), F.sum("own").over(everything).alias("total"))
-    sizes = stored(sizes, "token-parts")  # of known size, so that Spark broadcasts it if small and need not shuffle the packs first
-    placed = packs.join(sizes, "part").select((F.col("base") + F.col("first")).alias("first"), "total", "ids")
+    splits = stored(packs.groupBy("file", "split").agg(F.sum("n").alias("own")), "token-splits")  # of known size, so that Spark broadcasts it if small and need not shuffle the packs first
+    files = splits.groupBy("file").agg(F.sum("own").alias("whole"))  # a row a file
+    files = files.select("file", (F.sum("whole").over(Window.orderBy("file")) - F.col("whole")).alias("before"))
+    base = (F.sum("own").over(Window.partitionBy("file").orderBy("split")) - F.col("own") + F.col("before")).alias("base")
+    bases = stored(splits.join(files, "file").select("file", "split", base), "token-bases")
+    tokens = splits.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0]
+    total, shards = -(-tokens // length), -(-tokens // (length * per_shard))
+    placed = packs.join(bases, ["file", "split"]).select((F.col("base") + F.col("first")).alias("first"), "ids")
 
     def deal(batches):
         held: dict[int, list] = {}
-        count, total = 0, 0
+        count = 0
 
         def flush():
             for shard, rows in sorted(held.items()):
-                slots = np.concatenate([x for x, _ in rows])
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([total], pa.int64()), pa.array([slots.tobytes()], pa.binary()), pa.array([pressed(np.concatenate([y for _, y in rows]))], pa.binary())], ["shard", "total", "slots", "ids"])
+                where = [np.concatenate([r[k] for r in rows]) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in where[:2]), pa.array([pressed(where[2])], pa.binary())], ["shard", "starts", "sizes", "ids"])
             held.clear()
 
         for batch in batches:
             for i in range(batch.num_rows):
-                total = batch.column(1)[i].as_py()
-                ids = unpressed(batch.column(2)[i].as_py(), length)
-                slot = feistel(batch.column(0)[i].as_py() + np.arange(len(ids)), total, key)
+                begin, ids = batch.column(0)[i].as_py(), unpressed(batch.column(1)[i].as_py())
+                number = np.arange(begin // length, -(-(begin + len(ids)) // length))
+                edge = np.concatenate([[begin], number[1:] * length, [begin + len(ids)]])
+                slot, size = feistel(number, total, key), np.diff(edge)
+                start = (slot % per_shard) * length + edge[:-1] % length  # of the part, in ids of its shard
                 order = np.argsort(slot // per_shard, kind="stable")
                 shard, at = np.unique((slot // per_shard)[order], return_index=True)
                 for s, rows in zip(shard.tolist(), np.split(order, at[1:]), strict=True):
-                    held.setdefault(s, []).append((slot[rows], ids[rows]))
+                    take = np.repeat(edge[rows] - begin - np.cumsum(size[rows]) + size[rows], size[rows]) + np.arange(size[rows].sum())
+                    held.setdefault(s, []).append((start[rows], size[rows], ids[take]))
                 count += len(ids)
-                if count * length * 2 > 64 << 20:
+                if count * 2 > 64 << 20:
                     yield from flush()
                     count = 0
         yield from flush()
 
-    dealt = in_batches(placed, deal, "shard long, total long, slots binary, ids binary")
+    dealt = in_batches(placed, deal, "shard long, starts binary, sizes binary, ids binary")
 
     def write(batches):
         filesystem, top = opened(path)
 
-        def close(shard, total, slots, ids):
-            slots, ids = np.concatenate(slots), np.concatenate(ids)
+        def close(shard, starts, sizes, ids):
+            starts, sizes, ids = np.concatenate(starts), np.concatenate(sizes), np.concatenate(ids)
             n = min(per_shard, total - shard * per_shard)
-            rows = np.full((n, length), PAD, "<u2")
-            rows[slots - shard * per_shard] = ids
-            if len(np.unique(slots)) != n:
+            flat, filled = np.full(n * length, PAD, "<u2"), np.bincount(starts // length, sizes, n)
+            flat[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())] = ids
+            wanted = np.full(n, length)
+            last = int(feistel(np.array([total - 1]), total, key)[0])
+            if last // per_shard == shard:
+                wanted[last % per_shard] = tokens - (total - 1) * length
+            if not np.array_equal(filled, wanted):
                 raise ValueError(f"shard {shard} misses sequences")
             name, mine = f"{top}/shard-{shard:08d}.bin", f"{top}/.shard-{shard:08d}.{TaskContext.get().taskAttemptId()}"
             with filesystem.open_output_stream(mine) as f:
-                f.write(rows.tobytes())
+                f.write(flat.tobytes())
             filesystem.move(mine, name)
-            return shard, shard * per_shard, n, zlib.crc32(rows), total
+            return shard, shard * per_shard, n, zlib.crc32(flat), total
 
-        now, slots, ids, done, all_n = None, [], [], [], 0
+        now, held, done = None, ([], [], []), []
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = batch.column(0)[i].as_py()
                 if shard != now and now is not None:
-                    done.append(close(now, all_n, slots, ids))
-                    slots, ids = [], []
-                now, all_n = shard, batch.column(1)[i].as_py()
-                slots.append(np.frombuffer(batch.column(2)[i].as_py(), np.int64))
-                ids.append(unpressed(batch.column(3)[i].as_py(), length))
+                    done.append(close(now, *held))
+                    held = ([], [], [])
+                now = shard
+                for k in (0, 1):
+                    held[k].append(np.frombuffer(batch.column(k + 1)[i].as_py(), np.int64))
+                held[2].append(unpressed(batch.column(3)[i].as_py()))
         if now is not None:
-            done.append(close(now, all_n, slots, ids))
+            done.append(close(now, *held))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*done, strict=True) if done else [()] * 5)], ["shard", "first_slot", "n", "crc32", "total"])
 
     filesystem, top = opened(path)
     filesystem.create_dir(top, recursive=True)
-    ranges = dealt.repartition(partitions(docs.sparkSession), "shard").sortWithinPartitions("shard")
+    tasks = max(partitions(docs.sparkSession), -(-shards // PER_TASK))  # what a task writes does not grow with the input
+    ranges = dealt.repartition(tasks, F.floor(F.col("shard") / PER_TASK)).sortWithinPartitions("shard")
     return stored(in_batches(ranges, write, "shard long, first_slot long, n long, crc32 long, total long"), "shard-manifest")
 
 
