@@ -1,6 +1,8 @@
 """The training-data operators against brute force, round trips and held-out accuracy, with odd rows."""
 
 import base64
+import glob
+import gzip
 import hashlib
 import itertools
 import random
@@ -345,6 +347,21 @@ def test_warc_round_trip(spark):
     assert Counter(map(tuple, warc.read_warc(spark, path).collect())) == want
 
 
+def test_warc_members(spark):
+    """An archive is valid gzip, each record a member that can be read alone, each chunk within its bound."""
+    rows = [(1, "u", "a" * 5000 + "é" * 900), (2, "v", "b"), (3, "w", None)]
+    path = common.fresh(spark, "warc-test")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, chunk=777)
+    (file,) = glob.glob(path.removeprefix("file:") + "/part-*")
+    raw = open(file, "rb").read()
+    records = [gzip.decompress(x) for x in raw.split(warc.EMPTY)[:-1]]
+    assert gzip.decompress(raw) == b"".join(records) and len(records) == 11
+    assert all(r.startswith(b"WARC/1.1\r\n") and r.endswith(warc.END) and len(r) < 777 + 700 for r in records)
+    got = warc.record_chunks(spark, path).collect()
+    assert sorted((r.page, r.chunk, r.size) for r in got) == sorted([("1", k, min(777, 6800 - 777 * (k - 1))) for k in range(1, 10)] + [("2", 0, 1), ("3", 0, 0)])
+    assert warc.read_warc(spark, path).count() == 3
+
+
 @pytest.mark.parametrize("n", [3500, 5000, 70000])
 def test_warc_long_headers(spark, n):
     """A URL longer than what the reader first looks at, in a whole record, in segments, and in a record that a revisit refers to."""
@@ -357,7 +374,7 @@ def test_warc_long_headers(spark, n):
 
 
 def test_warc_without_header_end_raises(spark, tmp_path):
-    (tmp_path / "x.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\n" + b"x" * 9000)
+    (tmp_path / "x.warc").write_bytes(warc.member(b"WARC/1.1\r\nWARC-Type: response\r\n" + b"x" * 9000))
     with pytest.raises(Exception, match="without the end of a header"):
         warc.record_chunks(spark, str(tmp_path)).collect()
 
@@ -476,6 +493,31 @@ def test_tokens_in_training_order(spark, docs, rows):
         assert sorted(f) == list(range(n)) and (token_order.feistel(f, n, 7, back=True) == np.arange(n)).all()
 
 
+def test_training_order_ignores_splits(spark, docs, rows, tmp_path):
+    """The same shards from the same files, however they are split, and the stream of ids in the order of files and rows."""
+    path, ranks = str(tmp_path / "in"), token_order.load_ranks()
+    docs.repartition(3).write.option("parquet.block.size", 4096).parquet(path)
+    got = []
+    for size in ("1g", "6k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            out = common.fresh(spark, "shards-test")
+            read = spark.read.parquet(path)
+            got.append((read.rdd.getNumPartitions(), sorted(map(tuple, token_order.sequences(token_order.write_shards(read, out, ranks, 64, 16), out, 64, 16).collect()))))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got[0][1] == got[1][1] and got[0][0] < got[1][0]
+    tokens, ordered = token_order.Tokens(ranks), []
+    for f in sorted(glob.glob(path + "/*.parquet")):
+        ordered += [r.text or "" for r in spark.read.parquet(f).coalesce(1).collect()]
+    stream = sum(([*tokens.encode(t), token_order.EOT] for t in ordered), [])
+    slots = list(token_order.read_slots(out, 0, len(got[0][1]), 64, 16))
+    joined = np.concatenate([slots[r[0]] for r in sorted(got[0][1], key=lambda r: r[3])]).tolist()
+    assert joined[: len(stream)] == stream and set(joined[len(stream) :]) <= {token_order.PAD} and len(joined) - len(stream) < 64
+    empty = common.fresh(spark, "shards-test")
+    assert token_order.write_shards(docs.limit(0), empty, ranks, 64, 16).count() == 0
+
+
 def test_hilbert(docs, rows):
     table, points = hilbert.automaton(3), {}
     for p in itertools.product(range(8), repeat=3):
@@ -503,12 +545,51 @@ def test_spaced_seeds(spark):
     docs = spark.createDataFrame([(i, words(rng, 40, "qrs") + " " + " ".join(t).upper() + ", " + words(rng, 40, "qrs"), 1) for i, t in texts.items()] + [(5, None, 1), (6, "", 1)], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame([(7, " ".join(item)), (8, None), (9, "too short")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in spaced_seeds.matches(docs, bench).collect()} == {(0, 7), (2, 7), (3, 7)}
-    assert {r.doc_id for r in spaced_seeds.decontaminated(docs, bench, block=1).collect()} == {1, 4, 5, 6, 9}
+    for block in (1, 1000):
+        out = spaced_seeds.decontaminated(docs, bench, block=block, bits=1 << 16)
+        assert {r.doc_id for r in out.collect()} == {1, 4, 5, 6, 9} and out.columns == docs.columns
+        assert spaced_seeds.decontaminated(docs, bench.limit(0), block=block).count() == 8
     assert spaced_seeds.matches(docs, bench.limit(0)).count() == 0
     for a, b in itertools.combinations(range(spaced_seeds.WINDOW), 2):
         assert any(a % spaced_seeds.GROUPS not in m and b % spaced_seeds.GROUPS not in m for m in spaced_seeds.masks())
 
 
+def test_spaced_seeds_match_brute_force(spark):
+    """All windows of all texts against all windows of all items, by both ways; repeated rows, a hot passage and a very long text."""
+    rng = random.Random(55)
+    items = [words(rng, n).split() for n in (13, 20, 40, 12, 30)]
+    items.append(items[1][:])
+    rows = [(1, None), (2, ""), (3, " ".join(words(rng, 9000).split() + items[2] + words(rng, 3000).split()))]
+    for i in range(60):
+        w = list(rng.choice(items))
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = "zz"
+        cut = rng.randrange(0, max(1, len(w) - 12))
+        rows.append((10 + i, words(rng, rng.randint(0, 9)) + " " + "\u201c" + "\u2014 ".join(w[cut:]).upper() + "\u00a0" + words(rng, rng.randint(0, 30))))
+    rows += [rows[10], rows[10], (None, rows[12][1])]
+    want = Counter()
+    split = lambda t: re.findall(r"\w+", (t or "").lower())
+    for i, t in rows:
+        x = split(t)
+        for k, y in enumerate(items):
+            for d in range(-len(y), len(x)):
+                good = [p for p in range(max(0, d), min(len(x), len(y) + d) - 12) if sum(x[p + j] == y[p + j - d] for j in range(13)) >= 11]
+                if good:
+                    places = {p + j for p in good for j in range(13)}
+                    want[i, k, good[0], good[-1] + 13, len(places), sum(x[p] == y[p - d] for p in places)] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(y)) for k, y in enumerate(items)] + [(90, None), (91, "")], "item_id long, text string")
+    for block in (1, 10_000):
+        assert Counter(map(tuple, spaced_seeds.matches(docs, bench, block=block, bits=1 << 16).collect())) == want
+    assert len(want) > 30
+
+
+def test_word_bytes_of_other_scripts():
+    for text in ("ÀÉß Ωμέγα ΑΒΓ ЖЁЯ Ђ «quote» a–b “c”…d x×y 3º 你好、世界。 end", "é", "A", "Ω"):
+        got = bytes(spaced_seeds.normal(np.frombuffer(text.encode(), np.uint8))).decode("utf-8", "replace")
+        assert re.findall(r"\S+", got) == re.findall(r"\w+", text.lower().replace("µ", "µ"))
+
+
 def test_repeats_removed(docs, rows):
     texts = [(r[1] or "").encode() for r in rows]
     seen = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
