@@ -51,7 +51,7 @@ def folded(c: Column) -> Column:
     """NFKC and case folding."""
 
     def fold(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold())
+        return s.map(lambda x: x.lower() if x.isascii() else unicodedata.normalize("NFKC", x).casefold())
 
     return F.pandas_udf(fold, T.StringType())(safe_text(c))
 

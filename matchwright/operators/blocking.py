@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grams, normalized_address, normalized_country, normalized_name, safe_text
 from ..sources.schema import PAIR, require_columns
+from ..sources.tables import written
 
 #: Strategies in order of preference.
 STRATEGIES = ("exact_name", "exact_address", "name_similarity", "address_similarity")
-#: A side of the gram join is broadcast only if it has at most so many gram rows (32 bytes each).
+#: Grams of a block of queries that is sent to the workers (16 bytes each).
 BROADCAST_GRAMS = 2_000_000
+#: Cells (targets x queries) counted at once, and pairs that a task keeps before it settles for the best.
+CELLS, KEEP = 1 << 22, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -69,39 +74,118 @@ def windowed(targets: DataFrame, n: int | None) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+@dataclass
+class QueryBlock:
+    """Some queries and, for each gram (by its hash with the country), the queries that have it."""
+
+    ids: list[str]
+    sizes: np.ndarray
+    grams: np.ndarray
+    first: np.ndarray
+    queries: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> QueryBlock:
+        lists = rows["g"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        sizes = np.diff(lists.offsets.to_numpy())
+        flat, query = lists.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(flat, kind="stable")
+        hashes, first = np.unique(flat[order], return_index=True)
+        return cls(rows["entity_id"].to_pylist(), sizes, hashes, np.append(first, len(flat)), query[order])
+
+    def scored(self, hashes: np.ndarray, sizes: np.ndarray):
+        """(target, query, similarity) of all pairs of these targets (their grams one after another) that share a gram."""
+        target = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.minimum(np.searchsorted(self.grams, hashes), len(self.grams) - 1)
+        known = self.grams[at] == hashes
+        at, target = at[known], target[known]
+        n = self.first[at + 1] - self.first[at]
+        place = np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        counts = np.bincount(np.repeat(target, n) * len(self.ids) + self.queries[place], minlength=len(sizes) * len(self.ids))
+        pair = np.flatnonzero(counts)
+        shared = counts[pair]
+        t, q = np.divmod(pair, len(self.ids))
+        return t, q, shared / np.maximum(self.sizes[q] + sizes[t] - shared, 1)
+
+
+def best(query: np.ndarray, similarity: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the k rows of each query with the greatest similarity, ties to the smaller id."""
+    order = np.lexsort((np.unique(ids, return_inverse=True)[1] if len(ids) else np.zeros(0, np.int64), -similarity, query))
+    own = query[order]
+    start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    place = np.arange(len(own)) - np.repeat(start, np.diff(np.append(start, len(own))))
+    return order[place < k]
+
+
+def nearest(targets: DataFrame, block: QueryBlock, k: int) -> DataFrame:
+    """The k best targets (entity_id, candidate_source, g) of a partition for each query of the block and source."""
+
+    def run(batches):
+        held = {}  # by source: queries, similarities, ids, and the least similarity that still counts for a query
+        for batch in batches:
+            lists, source = batch.column(2), np.array(batch.column(1).to_pylist())
+            names, offs = np.array(batch.column(0).to_pylist(), object), lists.offsets.to_numpy()
+            flat = lists.values.to_numpy()
+            step = max(1, CELLS // max(1, len(block.ids)))
+            for a in range(0, batch.num_rows, step):
+                b = min(batch.num_rows, a + step)
+                t, q, similarity = block.scored(flat[offs[a] : offs[b]], np.diff(offs[a : b + 1]))
+                for name in np.unique(source[a:b]).tolist():
+                    state = held.setdefault(name, [[], [], [], np.zeros(len(block.ids)), 0])
+                    keep = (source[a + t] == name) & (similarity >= state[3][q])
+                    for part, x in zip(state, (q[keep], similarity[keep], names[a + t[keep]]), strict=False):
+                        part.append(x)
+                    state[4] += int(keep.sum())
+                    if state[4] > KEEP:
+                        held[name] = settled(state)
+        for name, state in held.items():
+            q, similarity, ids = settled(state)[:3]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(block.ids, object)[q[0]], pa.string()), pa.array(ids[0], pa.string()), pa.array([name] * len(ids[0]), pa.string()), pa.array(similarity[0])], [*PAIR, "similarity"])
+
+    def settled(state):
+        q, similarity, ids = (np.concatenate(x) for x in state[:3])
+        chosen = best(q, similarity, ids, k)
+        q, similarity, ids = q[chosen], similarity[chosen], ids[chosen]
+        least = np.zeros(len(block.ids))
+        full = np.bincount(q, minlength=len(least)) == k
+        least[full] = np.minimum.reduceat(similarity, np.flatnonzero(np.diff(q, prepend=-1)))[full[np.unique(q)]] if len(q) else 0
+        return [[q], [similarity], [ids], least, 0]
+
+    return targets.select("entity_id", "candidate_source", "g").mapInArrow(run, ", ".join(f"{c} string" for c in PAIR) + ", similarity double")
+
+
 def similarity_topk(s1: DataFrame, targets: DataFrame, field: str, k: int, config: BlockingConfig = FULL) -> DataFrame:
     """For each Source-1 row and target source, the k targets of its country with the greatest Jaccard similarity of grams.
 
-    Pairs share at least one gram; ties go to the smaller target id; an empty country has no candidates.  Grams meet by
-    a 64-bit hash of (country, gram), pairs are counted by 64-bit hashes of the ids, and the side that fits is broadcast
-    after its gram count was checked, so pair counts never leave the partition of the other side's rows.
+    Pairs share at least one gram; ties go to the smaller target id; an empty country has no candidates; ids are unique.
+    Queries go to the workers in blocks whose grams are counted first (`BROADCAST_GRAMS` at most, one block if they fit);
+    each task counts common grams of its targets with a block by index arithmetic and keeps its own k best for a query
+    and source, so neither pairs nor grams are shuffled, only the best of each task, which are ranked once more.  A block
+    more is one more pass over the targets' grams.
     """
     if k <= 0:
         return s1.select(F.col("entity_id").alias("source1_entity_id"), F.lit("").alias("candidate_entity_id"), F.lit("").alias("candidate_source"), F.lit(0.0).alias("similarity")).limit(0)
     limit = min(k, config.max_candidates)
 
-    def gram_rows(df: DataFrame, key: str, size: str) -> DataFrame:
-        rows = df.where(F.col("country") != "").select(F.col(key), "country", grams(F.col(field), config.ngram).alias("g"))
-        return rows.select(key, F.size("g").alias(size), F.explode("g").alias("gram"), "country").select(key, size, F.xxhash64("country", "gram").alias("key"))
-
-    left = s1.withColumn("q", F.xxhash64("entity_id"))
-    right = windowed(targets, config.target_window).withColumn("t", F.xxhash64("entity_id", "candidate_source"))
-    q, t = gram_rows(left, "q", "nq"), gram_rows(right, "t", "nt")
-    n_t, n_q = t.count(), q.count()
-    if n_t <= BROADCAST_GRAMS:
-        joined = q.repartition("q").join(F.broadcast(t), "key")
-    elif n_q <= BROADCAST_GRAMS:
-        joined = t.repartition("t").join(F.broadcast(q), "key")
-    else:
-        joined = q.join(t, "key")
-    counts = joined.groupBy("q", "t", "nq", "nt").count()
-    scored = counts.select("q", "t", (F.col("count") / F.greatest(F.col("nq") + F.col("nt") - F.col("count"), F.lit(1))).alias("similarity"))
-    named = right.select("t", F.col("entity_id").alias("candidate_entity_id"), "candidate_source")
-    source = scored.join(named, "t")
-    near = source.withColumn("_r", F.rank().over(Window.partitionBy("q", "candidate_source").orderBy(F.desc("similarity")))).where(F.col("_r") <= limit).drop("_r")
-    best = Window.partitionBy("q", "candidate_source").orderBy(F.desc("similarity"), "candidate_entity_id")
-    near = near.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= limit)
-    return near.join(left.select("q", F.col("entity_id").alias("source1_entity_id")), "q").select(*PAIR, "similarity")
+    def with_grams(df: DataFrame) -> DataFrame:
+        hashes = F.transform(grams(F.col(field), config.ngram), lambda g: F.xxhash64("country", g))
+        return df.where(F.col("country") != "").withColumn("g", F.array_distinct(hashes)).where(F.size("g") > 0)
+
+    spark, queries = s1.sparkSession, with_grams(s1.select("entity_id", "country", field)).select("entity_id", "g")
+    rows = with_grams(windowed(targets, config.target_window)).select("entity_id", "candidate_source", "g").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "entity_id")
+    total = queries.agg(F.coalesce(F.sum(F.size("g")), F.lit(0))).first()[0]
+    blocks, near = max(1, -(-total // BROADCAST_GRAMS)), None
+    for n in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("entity_id"), F.lit(blocks)) == n)
+        block = QueryBlock.of(own.toArrow())
+        if block.ids:
+            part = nearest(rows, block, limit)
+            near = part if near is None else near.unionByName(part)
+    if near is None:
+        return similarity_topk(s1, targets, field, 0, config)
+    rank = Window.partitionBy("source1_entity_id", "candidate_source").orderBy(F.desc("similarity"), "candidate_entity_id")
+    return near.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= limit).drop("_n")
 
 
 def strategy_frames(s1: DataFrame, targets: DataFrame, config: BlockingConfig) -> list[DataFrame]:
@@ -127,10 +211,14 @@ def combined(frames: list[DataFrame]) -> DataFrame:
 
 
 def stacked(s2: DataFrame, s3: DataFrame, order: str | None = None) -> DataFrame:
-    """Both targets, prepared; ids must carry their source's prefix."""
+    """Both targets, prepared; a target without rows, and ids without their source's prefix, raise."""
     parts = []
     for name, df in (("S2", s2), ("S3", s3)):
-        if df.where(~F.coalesce(F.col("entity_id").startswith(name), F.lit(False))).limit(1).count():
+        require_columns(df, ["entity_id"], name)
+        rows, bad = df.agg(F.count("*"), F.count_if(~F.coalesce(F.col("entity_id").startswith(name), F.lit(False)))).first()
+        if not rows:
+            raise ValueError(f"target {name} has no rows")
+        if bad:
             raise ValueError(f"target ids must all start with {name}")
         parts.append(prepared(df, name, order).withColumn("candidate_source", F.lit(name)))
     return parts[0].unionByName(parts[1])
@@ -138,7 +226,7 @@ def stacked(s2: DataFrame, s3: DataFrame, order: str | None = None) -> DataFrame
 
 def generate_candidates(s1: DataFrame, s2: DataFrame, s3: DataFrame, config: BlockingConfig = BOUNDED, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Candidates of all strategies, and per Source-1 row and target source their counts (zeros included)."""
-    left, targets = prepared(s1, "S1", order).persist(), stacked(s2, s3, order).persist()  # each of four strategies reads both
+    left, targets = written(prepared(s1, "S1", order)), written(stacked(s2, s3, order))  # each of four strategies reads both
     frames = strategy_frames(left, targets, config)
     pairs = combined(frames)
     both = left.select(F.col("entity_id").alias("source1_entity_id")).crossJoin(s1.sparkSession.createDataFrame([("S2",), ("S3",)], "candidate_source string"))

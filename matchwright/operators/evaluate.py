@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schema import require_columns
+from ..sources.tables import write_text
 
 #: 0.10, 0.15, ... 0.95.
 THRESHOLDS = tuple(round(0.05 * k, 2) for k in range(2, 20))
@@ -39,6 +40,8 @@ def with_rates(df: DataFrame) -> DataFrame:
 def entity_metrics(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5, ids: DataFrame | None = None) -> DataFrame:
     """Per Source-1 id of truth, predictions at or over the threshold, or `ids`: set counts, rates and sorted id lists."""
     require_columns(predictions, ["source1_entity_id", "candidate_entity_id", "match_probability"], "predictions")
+    if not 0 <= threshold <= 1:
+        raise ValueError(f"threshold must be in [0, 1], not {threshold}")
     marks = explode_truth(truth).select("source1_entity_id", F.col("true_entity_id").alias("id"), F.lit(1).alias("t"), F.lit(0).alias("p"))
     chosen = predictions.where(F.col("match_probability") >= threshold).select("source1_entity_id", F.col("candidate_entity_id").alias("id"), F.lit(0).alias("t"), F.lit(1).alias("p"))
     everyone = truth.select("source1_entity_id")
@@ -55,13 +58,13 @@ def entity_metrics(predictions: DataFrame, truth: DataFrame, threshold: float =
 
 
 def macro(per_entity: DataFrame, *by: str) -> DataFrame:
-    """Unweighted means and totals."""
+    """Unweighted means and totals; without any entity, zeros."""
     n_pred, n_true = F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn")
     return per_entity.groupBy(*by).agg(
-        F.count("*").alias("entities"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f0_5").alias("macro_f0_5"),
-        F.sum("tp").alias("total_tp"), F.sum("fp").alias("total_fp"), F.sum("fn").alias("total_fn"),
+        F.count("*").alias("entities"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"macro_{c}") for c in ("precision", "recall", "f0_5")],
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"total_{c}") for c in ("tp", "fp", "fn")],
         F.count_if(n_true == 0).alias("zero_match_entities"), F.count_if(n_true == 1).alias("singleton_entities"), F.count_if((n_true == 0) & (n_pred == 0)).alias("correctly_empty"),
-        F.min("f0_5").alias("min_f0_5"), F.max("f0_5").alias("max_f0_5"),
+        F.coalesce(F.min("f0_5"), F.lit(0.0)).alias("min_f0_5"), F.coalesce(F.max("f0_5"), F.lit(0.0)).alias("max_f0_5"),
     )
 
 
@@ -74,6 +77,8 @@ def threshold_sweep(predictions: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     values = [float(t) for t in thresholds]
     if not values:
         raise ValueError("at least one threshold is required")
+    if not all(0 <= t <= 1 for t in values):
+        raise ValueError("thresholds must be in [0, 1]")
     grid = predictions.sparkSession.createDataFrame([(t,) for t in values], "threshold double")
     t, p = F.col("ground_truth_label") == 1, F.col("match_probability") >= F.col("threshold")
     once = predictions.groupBy("source1_entity_id", "candidate_entity_id").agg(F.max("match_probability").alias("match_probability"), F.max("ground_truth_label").alias("ground_truth_label"))
@@ -89,9 +94,14 @@ def best_thresholds(sweep: DataFrame) -> DataFrame:
 
 
 def write_threshold(best: DataFrame, path: str) -> None:
-    """The selected threshold with two decimals, as one line."""
-    with open(path, "w", encoding="ascii", newline="\n") as f:
-        f.write(f"{best.first()['selected_threshold']:.2f}\n")
+    """The selected threshold with two decimals, as one line of a file in any store that Spark writes."""
+    write_text(best.sparkSession, path, f"{best.first()['selected_threshold']:.2f}\n")
+
+
+def evaluate_persisted(predictions: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Metrics of an artifact whose own label-1 rows are the truth, with the scope of that and a warning."""
+    warning = "Only persisted candidate pairs are judged: true matches that candidate generation missed, and entities without candidates, are not seen."
+    return threshold_sweep(predictions, [threshold]).withColumns({"evaluation_scope": F.lit("persisted_candidate_pairs_only"), "warning": F.lit(warning)})
 
 
 def artifact_scope(predictions: DataFrame, truth: DataFrame) -> DataFrame:
@@ -117,6 +127,12 @@ def candidate_recall(candidates: DataFrame, truth: DataFrame, empty: float = 1.0
     return out.withColumns({"recall": F.coalesce(F.try_divide(F.col("recovered").cast("double"), F.col("true_matches")), F.lit(empty)), "missed": F.col("true_matches") - F.col("recovered")})
 
 
+def missed_pairs(candidates: DataFrame, truth: DataFrame, most: int = 20) -> DataFrame:
+    """The first `most` true pairs, in order of their ids, that no candidate covers."""
+    rows = candidate_status(candidates, truth).where("candidate_status = 'CANDIDATE_MISSING'")
+    return rows.select("source1_entity_id", "true_entity_id", "true_source").orderBy("source1_entity_id", "true_entity_id").limit(most)
+
+
 def recall_stats(candidates: DataFrame, truth: DataFrame, ids: DataFrame) -> DataFrame:
     """One row: present, missing, recall (0 when there is none), pairs, and candidates per Source-1 id (zeros included)."""
     counts = ids.select("source1_entity_id").distinct().join(candidates.groupBy("source1_entity_id").count(), "source1_entity_id", "left").na.fill(0, ["count"])

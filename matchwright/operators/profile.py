@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_value
+from ..sources.tables import write_text
 from .evaluate import explode_truth, split_ids
 
 FIELDS = ("business_name", "business_address", "country")
@@ -64,6 +65,7 @@ def match_coverage(truth: DataFrame) -> DataFrame:
     return truth.agg(F.count_if(s2).alias("with_s2"), F.count_if(s3).alias("with_s3"), F.count_if(s2 & s3).alias("with_both"), F.count_if(~s2 & ~s3).alias("with_none"))
 
 
+# The kinds of differences and their patterns.
 NOISE = {
     "name differences": ("business_name", None),
     "address differences": ("business_address", None),
@@ -107,16 +109,68 @@ def format_counter(counts: dict) -> str:
     return "\n".join(f"{k or '[empty]'}: {v:,}" for k, v in sorted(counts.items(), key=lambda x: (-x[1], str(x[0]))))
 
 
-def write_report(sections: dict[str, DataFrame], path: str, most: int = 100) -> None:
-    """A text report of small aggregate tables, at most `most` rows of each."""
+def truth_violations(truth: DataFrame, most: int = 10) -> DataFrame:
+    """(kind, id): the first `most` Source-1 ids, and matched ids, without the prefix of a source."""
+    first = lambda df, kind: df.distinct().orderBy("id").limit(most).select(F.lit(kind).alias("kind"), "id")
+    own = truth.where(~F.col("source1_entity_id").startswith("S1-")).select(F.col("source1_entity_id").alias("id"))
+    other = explode_truth(truth).where(~F.col("true_entity_id").rlike("^S[23]-")).select(F.col("true_entity_id").alias("id"))
+    return first(own, "source1").unionByName(first(other, "matched"))
+
+
+def country_counts(df: DataFrame, *by: str) -> DataFrame:
+    """(by, country, records)."""
+    return df.groupBy(*by, "country").agg(F.count("*").alias("records"))
+
+
+def prefix_examples(df: DataFrame, prefix: str, most: int = 10) -> DataFrame:
+    """The first `most` ids that do not begin with `prefix`."""
+    return df.where(~F.coalesce(F.col("entity_id").startswith(prefix), F.lit(False))).select("entity_id").orderBy("entity_id").limit(most)
+
+
+def matched_examples(df: DataFrame, truth: DataFrame, most: int = 20) -> DataFrame:
+    """The first `most` records, by id, that the truth names."""
+    named = truth.select(F.col("source1_entity_id").alias("entity_id")).unionByName(explode_truth(truth).select(F.col("true_entity_id").alias("entity_id")))
+    return df.join(named.distinct(), "entity_id", "left_semi").orderBy("entity_id").limit(most)
+
+
+def repeated_ids(df: DataFrame, most: int = 5) -> DataFrame:
+    """(entity_id, records) of the `most` ids that occur most often, more than once."""
+    return df.groupBy("entity_id").agg(F.count("*").alias("records")).where("records > 1").orderBy(F.desc("records"), "entity_id").limit(most)
+
+
+def inspect_table(df: DataFrame, file_name: str = "", head: int = 5) -> dict[str, DataFrame | int | dict | list]:
+    """Shape, types, first rows, empty values, and, where there are such columns, repeated ids, countries and bad prefixes."""
+    row = df.agg(F.count("*").alias("rows"), *empty_flags(*df.columns)).first()
+    out = {"rows": row["rows"], "columns": df.columns, "types": dict(df.dtypes), "head": df.limit(head), "empty": {c: row[f"empty_{c}"] for c in df.columns}}
+    if "entity_id" in df.columns:
+        counts = df.groupBy("entity_id").count()
+        out |= {"repeated_ids": counts.where("count > 1").count(), "repeated_examples": repeated_ids(df)}
+    if "country" in df.columns:
+        out["countries"] = country_counts(df)
+    prefix = expected_prefix(file_name)
+    if prefix and "entity_id" in df.columns:
+        out |= {"prefix": prefix, "bad_prefixes": df.where(~F.coalesce(F.col("entity_id").startswith(prefix), F.lit(False))).count(), "bad_examples": prefix_examples(df, prefix, 5)}
+    return out
+
+
+def inspect_truth(truth: DataFrame) -> dict[str, DataFrame]:
+    """Counts of empty, single and multiple truth, and ids without a prefix."""
+    return {"profile": truth_profile(truth), "violations": truth_violations(truth, 5), "head": truth.limit(10)}
+
+
+def report(sections: dict[str, DataFrame], most: int = 100) -> str:
+    """A text of small aggregate tables, at most `most` rows of each."""
     lines = []
     for title, df in sections.items():
         lines.append(f"== {title} ==")
         for row in df.limit(most).collect():
             lines.append("  " + ", ".join(f"{k}: {format_number(v) if isinstance(v, float) else '[empty]' if v == '' else v}" for k, v in row.asDict().items()))
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("\n".join(lines) + "\n")
+    return "\n".join(lines) + "\n"
+
+
+def write_report(spark: SparkSession, sections: dict[str, DataFrame], path: str, most: int = 100) -> None:
+    write_text(spark, path, report(sections, most))
 
 
 def empty_flags(*columns: str) -> list[Column]:
-    return [F.count_if(F.coalesce(F.col(c), F.lit("")) == "").alias(f"empty_{c}") for c in columns]
+    return [F.count_if(F.coalesce(F.col(c).cast("string"), F.lit("")) == "").alias(f"empty_{c}") for c in columns]

@@ -13,6 +13,7 @@ from ..operators import diagnostics as dg
 from ..operators import evaluate as ev
 from ..operators import features as ft
 from ..operators import model as md
+from ..operators import preprocess as pp
 from ..operators import profile as pf
 from ..sources import tables as tb
 from ..sources.schema import PAIR
@@ -101,12 +102,8 @@ for _name, _run in {
 
 @query
 def preprocess_fields(spark, d):
-    df = tb.projection(spark, d).withColumns({"name": tx.normalized_name(F.col("business_name")), "address": tx.normalized_address(F.col("business_address")), "country_n": tx.normalized_country(F.col("country"))})
-    out = ["entity_id", F.col("name").alias("business_name_normalized"), F.col("address").alias("business_address_normalized"), F.col("country_n").alias("country_normalized")]
-    for f in ("name", "address"):
-        t = tx.tokens(F.col(f))
-        out += [F.array_join(t, "|").alias(f"{f}_tokens"), F.size(t).alias(f"{f}_token_count"), F.length(f).alias(f"{f}_length"), (F.col(f) != "").alias(f"has_{f}"), (F.col(f) == "").alias(f"missing_{f}")]
-    return df.select(*out)
+    df = pp.preprocess(tb.projection(spark, d)).withColumns({f"{f}_tokens": F.array_join(f"{f}_tokens", "|") for f in ("name", "address")})
+    return df.drop("doc_id", "business_name", "business_address", "country", "text")
 
 
 @query
@@ -360,6 +357,47 @@ def char_similarity_pairs(spark, d):
     return pairs.select(*PAIR, char_similarity(F.col("address_1"), F.col("address_2")).alias("address_char_similarity"))
 
 
+@query
+def strength_flags(spark, d):
+    """The two strength flags with token Jaccard in place of character similarity."""
+    return _injected(spark, d).withColumns(ft.strength_flags()).select(*PAIR, *ft.strength_flags())
+
+
+@query
+def checked_join(spark, d):
+    """Pairs resolved with the cardinality and coverage checks on: no pair may be lost or repeated."""
+    pairs = bl.exact_candidates(*_parts(spark, d), "name")
+    return ft.resolved(pairs, *ft.records(*tb.sources(spark, d))).select(*PAIR, "name_1", "name_2")
+
+
+@query
+def miss_summary(spark, d):
+    exact = bl.BlockingConfig(name_k=0, address_k=0, target_window=None)
+    return dg.miss_summary(ev.candidate_status(_candidates(spark, d, exact), tb.projected_truth(spark, d)), _misses(spark, d))
+
+
+@query
+def missed_pairs(spark, d):
+    return ev.missed_pairs(_candidates(spark, d, bl.BlockingConfig(name_k=0, address_k=0, target_window=None)), tb.projected_truth(spark, d))
+
+
+@query
+def country_counts(spark, d):
+    return pf.country_counts(tb.projection(spark, d).withColumn("source", F.substring("entity_id", 1, 2)), "source")
+
+
+@query
+def matched_examples(spark, d):
+    return pf.matched_examples(pl.all_records(*tb.sources(spark, d)), tb.projected_truth(spark, d))
+
+
+@query
+def comparison_texts(spark, d):
+    truth = tb.projected_truth(spark, d)
+    few, many = (ev.recall_stats(_candidates(spark, d, bl.BlockingConfig(name_k=k, address_k=k, target_window=None)), truth, truth) for k in (2, 4))
+    return dg.displayed(dg.comparison(dg.stats_table(few), dg.stats_table(many))).select("metric", "percentage_change")
+
+
 @query
 def feature_flags(spark, d):
     return ft.pair_features(_candidates(spark, d), *tb.sources(spark, d), include_tfidf=False, check=False)
@@ -367,9 +405,11 @@ def feature_flags(spark, d):
 
 @query
 def group_split(spark, d):
+    """What must hold whatever the hash: entities of either side, those on both, and all pairs."""
     train, held = md.group_split(ft.training_labels(_candidates(spark, d).select(*PAIR), tb.projected_truth(spark, d)))
-    side = lambda df, n: df.agg(F.lit(n).alias("side"), F.count("*").alias("pairs"), F.count_distinct("source1_entity_id").alias("entities"))
-    return side(train, "training").unionByName(side(held, "validation"))
+    both = train.select("source1_entity_id", F.lit(1).alias("t"), F.lit(0).alias("v")).unionByName(held.select("source1_entity_id", F.lit(0).alias("t"), F.lit(1).alias("v")))
+    each = both.groupBy("source1_entity_id").agg(F.max("t").alias("t"), F.max("v").alias("v"), F.count("*").alias("n"))
+    return each.agg(F.sum("t").alias("training_entities"), F.sum("v").alias("validation_entities"), F.count_if((F.col("t") == 1) & (F.col("v") == 1)).alias("shared_entities"), F.sum("n").alias("pairs"))
 
 
 @query

@@ -248,4 +248,29 @@ def _render(final: str) -> str:
     return f"WITH {ctes}\n{final}" if ctes else final
 
 
+_STRONG = "({f}_token_jaccard >= 0.75 OR {f}_exact_match = 1)"
+_WEAK = "({f}_token_jaccard < 0.5 OR {f}_missing_target = 1)"
+_MISSED = "round_even(100.0 * count(*) / (SELECT count(*) FROM misses), 2)::double"
+
+FINAL |= {
+    # all targets lie within the BOUNDED window and all Source-1 rows within the sample, as long as there are under 5,000
+    "sample_evaluation": """SELECT count(*)::bigint AS sample_rows, sum(n)::bigint AS pairs, round(avg(n), 6) AS average, round(median(n)::double, 6) AS median, max(n)::bigint AS maximum,
+      round(1 - sum(n)::double / (count(*) * (SELECT count(*) FROM norm WHERE src <> 'S1')), 6) AS reduction_ratio
+      FROM (SELECT s.entity_id, count(c.candidate_entity_id) AS n FROM norm s LEFT JOIN cand c ON c.source1_entity_id = s.entity_id WHERE s.src = 'S1' GROUP BY 1)""",
+    "group_split": "SELECT (n - ceil(0.2 * n))::bigint AS training_entities, ceil(0.2 * n)::bigint AS validation_entities, 0::bigint AS shared_entities, pairs FROM (SELECT count(DISTINCT source1_entity_id) AS n, count(*)::bigint AS pairs FROM cand)",
+    "strength_flags": f"SELECT {', '.join(_NAMES)}, ({_STRONG.format(f='name')} AND {_WEAK.format(f='address')})::bigint AS strong_name_weak_address, ({_WEAK.format(f='name')} AND {_STRONG.format(f='address')})::bigint AS weak_name_strong_address FROM feats",
+    "checked_join": "SELECT e.source1_entity_id, e.candidate_entity_id, e.candidate_source, a.name AS name_1, b.name AS name_2 FROM exact_name e JOIN norm a ON a.entity_id = e.source1_entity_id JOIN norm b ON b.entity_id = e.candidate_entity_id",
+    "miss_summary": f"""SELECT unnest(k) AS metric, unnest(v) AS value FROM (SELECT ['total_true_matches', 'candidate_present', 'candidate_missing', 'full_candidate_recall', 'candidate_missing_rate', 'candidate_missing_s2', 'candidate_missing_s3',
+        'mean_name_similarity_missing', 'mean_address_similarity_missing', 'name_exact_match_count_in_missing', 'address_exact_match_count_in_missing', 'name_similarity_above_0_75_in_missing', 'address_similarity_above_0_75_in_missing'] AS k,
+      [t::varchar, (t - m)::varchar, m::varchar, round_even((t - m) / t::double, 10)::varchar, round_even(m / t::double, 10)::varchar, s2::varchar, s3::varchar, mn::varchar, ma::varchar, n1::varchar, a1::varchar, n75::varchar, a75::varchar] AS v
+      FROM (SELECT count(*) AS m, count(*) FILTER (true_source = 'S2') AS s2, count(*) FILTER (true_source = 'S3') AS s3, round_even(avg(name_similarity), 4) AS mn, round_even(avg(address_similarity), 4) AS ma, count(*) FILTER (name_similarity = 1) AS n1,
+        count(*) FILTER (address_similarity = 1) AS a1, count(*) FILTER (name_similarity >= 0.75) AS n75, count(*) FILTER (address_similarity >= 0.75) AS a75 FROM misses), (SELECT count(*) AS t FROM pairs_true))
+      UNION ALL SELECT 'miss_category::' || candidate_missing_reason, count(*) || ' (' || {_MISSED} || '%)' FROM misses GROUP BY candidate_missing_reason
+      UNION ALL SELECT 'failed_strategy::' || f, count(*) || ' (' || {_MISSED} || '%)' FROM (SELECT unnest(string_split(failed_strategy, '|')) AS f FROM misses) GROUP BY f""",
+    "missed_pairs": "SELECT t.source1_entity_id, t.true_entity_id, t.true_source FROM pairs_true t ANTI JOIN cand_exact c ON c.source1_entity_id = t.source1_entity_id AND c.candidate_entity_id = t.true_entity_id ORDER BY 1, 2 LIMIT 20",
+    "country_counts": "SELECT src AS source, country, count(*)::bigint AS records FROM proj GROUP BY 1, 2",
+    "matched_examples": "SELECT entity_id, business_name, business_address, country FROM proj WHERE entity_id IN (SELECT source1_entity_id FROM truth UNION SELECT true_entity_id FROM pairs_true) ORDER BY 1 LIMIT 20",
+    "comparison_texts": "SELECT metric, CASE WHEN baseline <> 0 THEN printf('%+.4f%%', (experimental - baseline) / abs(baseline) * 100) ELSE 'N/A' END AS percentage_change FROM (" + FINAL["run_comparison"].replace("round(a, 6)", "a").replace("round(b, 6)", "b") + ")",
+}
+
 ORACLES = {name: _render(sql) for name, sql in FINAL.items()}

@@ -32,18 +32,49 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return read_tsv(spark, path, PREDICTIONS)
 
 
-def write_tsv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="")
+def write_tsv(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """A folder of part files, or, for tables of a few rows, one file of that name; what was there is replaced."""
+    out = f"{path}.parts" if one_file else path
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(out, sep="\t", header=True, quote='"', escape='"', emptyValue="")
+    if one_file:
+        fs, hadoop = file_system(df.sparkSession, out)
+        (part,) = [s.getPath() for s in fs.listStatus(hadoop(out)) if s.getPath().getName().startswith("part-")]
+        fs.delete(hadoop(path), True)
+        fs.rename(part, hadoop(path))
+        fs.delete(hadoop(out), True)
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the constructor of paths."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one UTF-8 file, in any store that Spark writes; folders above it are made."""
+    fs, hadoop = file_system(spark, path)
+    out = fs.create(hadoop(path), True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows written once to the checkpoint folder that all executors share, for plans that read them several times."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or f"/tmp/checkpoints/{sc.applicationId}")
+    return df.checkpoint()
 
 
 def list_files(spark: SparkSession, folder: str) -> list[str]:
     """Paths of a folder's files in order, from any store that Spark reads; a missing folder raises."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    fs, hadoop = file_system(spark, folder)
+    if not fs.exists(hadoop(folder)):
         raise FileNotFoundError(folder)
-    return sorted(s.getPath().toString() for s in fs.listStatus(path) if s.isFile())
+    return sorted(s.getPath().toString() for s in fs.listStatus(hadoop(folder)) if s.isFile())
 
 
 def records_by_ids(df: DataFrame, ids: DataFrame, keep: str = "first", order: str | None = None) -> DataFrame:
@@ -70,8 +101,7 @@ def diagnostic_target(target: DataFrame, sample: DataFrame, cap: int, order: str
     Only the key of two empty texts is left out, so ("us", "") matches every row of that country with an empty field.
     """
     s = keys(sample)
-    head = Window.orderBy(order)
-    t = keys(target).withColumn("_n", F.row_number().over(head)).where(F.col("_n") <= rows)  # a bounded diagnostic of the first rows
+    t = keys(target.orderBy(order).limit(rows)).withColumn("_n", F.col(order))  # a bounded diagnostic of the first rows; `order` is unique
     hit = None
     for field in ("k_name", "k_address"):
         own = s.where((F.col("k_country") != "") | (F.col(field) != "")).select("k_country", field).distinct().withColumn(f"_{field}", F.lit(True))
