@@ -442,7 +442,7 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.unhex(F.md5(text)).alias("md5"), F.col(id_col).alias("id"), text.alias("text"))
-    slim = stored(rows.select("id", "md5", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "suffix-rows")
+    slim = stored(rows.select("id", "md5", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "suffix-rows", few=True)
     groups = stored(slim.groupBy("md5").agg(F.count("*").alias("n"), F.min("id").alias("rep")), "suffix-texts")
 
     long_rows = rows.where(F.octet_length("text") >= length)
@@ -502,8 +502,8 @@ def passages(docs: DataFrame, words: int = PASSAGE, id_col: str = "doc_id", text
     The same merge sort over word codes instead of bytes, so spaces and line breaks between words do not matter.  Null
     and empty texts have none; repeated rows come back as often as they came.
     """
-    coded = stored(word_codes(docs, id_col, text_col), "word-codes")
-    return repeats_removed(coded, words * CODE, min(WINDOW, words * CODE // 2), id_col).select(id_col, F.expr(f"n_removed div {CODE}").alias("passage_words"))
+    coded = stored(word_codes(docs, id_col, text_col), "word-codes", few=True)
+    return repeats_removed(coded, words * CODE, min(WINDOW, words * CODE * 3 // 4), id_col).select(id_col, F.expr(f"n_removed div {CODE}").alias("passage_words"))
 
 
 def op10_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
