@@ -31,7 +31,7 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 EOT, PAD = 50256, 65535
 LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 4096, 7, 6
-#: Shards that a task writes.
+#: Shards of a range that is written together, at most.
 PER_TASK = 8
 #: Bytes of text tokenised at once, sequences in a packed row, and distinct chunks whose ids a worker remembers.
 PIECE, PACK, REMEMBER = 4 << 20, 512, 400_000
@@ -257,8 +257,8 @@ def write_shards(docs: DataFrame, path: str, ranks: dict[bytes, int], length: in
 
     filesystem, top = opened(path)
     filesystem.create_dir(top, recursive=True)
-    tasks = max(partitions(docs.sparkSession), -(-shards // PER_TASK))  # what a task writes does not grow with the input
-    ranges = dealt.repartition(tasks, F.floor(F.col("shard") / PER_TASK)).sortWithinPartitions("shard")
+    at_once = max(1, min(PER_TASK, shards // partitions(docs.sparkSession)))  # shards of a range: what a task writes does not grow with the input
+    ranges = dealt.repartition(max(partitions(docs.sparkSession), -(-shards // at_once)), F.floor(F.col("shard") / at_once)).sortWithinPartitions("shard")
     return stored(in_batches(ranges, write, "shard long, first_slot long, n long, crc32 long, total long"), "shard-manifest")
 
 
