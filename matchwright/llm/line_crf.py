@@ -42,6 +42,9 @@ CONTENT = (0.15, 0.85)
 MIN_WORDS, MAX_REPEAT, SHARE = 50, 50, 0.5
 
 
+_CACHE: dict[str, np.ndarray] = {}
+
+
 @dataclass
 class Lines:
     """Base counts per text, and its lines with a word: first line of each text, byte spans, words, features."""
@@ -76,11 +79,13 @@ def doubles(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cue_hashes() -> np.ndarray:
-    """Hashes of the cue words in lower, title and upper case, alone or before a full stop or comma."""
-    forms = [f(w) + end for w in CUES for f in (str.lower, str.title, str.upper) for end in ("", ".", ",")]
-    buf = np.frombuffer("".join(forms).encode(), np.uint8)
-    ends = np.cumsum([len(w) for w in forms])
-    return hash_of(prefix_hash(buf, byte_values()), np.concatenate([[0], ends[:-1]]), ends)
+    """Sorted hashes of the cue words in lower, title and upper case, alone or before a full stop or comma."""
+    if "cues" not in _CACHE:
+        forms = [f(w) + end for w in CUES for f in (str.lower, str.title, str.upper) for end in ("", ".", ",")]
+        buf = np.frombuffer("".join(forms).encode(), np.uint8)
+        ends = np.cumsum([len(w) for w in forms])
+        _CACHE["cues"] = np.unique(hash_of(prefix_hash(buf, byte_values()), np.concatenate([[0], ends[:-1]]), ends))
+    return _CACHE["cues"]
 
 
 def read_lines(buf: np.ndarray, offs: np.ndarray) -> Lines:
@@ -115,7 +120,8 @@ def read_lines(buf: np.ndarray, offs: np.ndarray) -> Lines:
     tw = lambda mask: total(mask)[w1] - total(mask)[w0]
     of = lambda t: t[le] - t[ls]
     chars = (total_chars := np.concatenate([[0], np.cumsum(word_chars)]))[w1] - total_chars[w0]
-    cue = np.isin(wh, cue_hashes())
+    cues = cue_hashes()
+    cue = cues[np.minimum(np.searchsorted(cues, wh), len(cues) - 1)] == wh
     bar = (ends - starts == 1) & flags(b"|<>*#/-_=~+")[buf[starts]] if len(starts) else np.zeros(0, bool)
     last = buf[ends[w1 - 1] - 1] if len(w1) else np.zeros(0, np.uint8)
     feats = np.stack(
