@@ -42,10 +42,13 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes `df` as Parquet in the shared folder and reads it again."""
+def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Cuts the lineage: writes `df` as Parquet in the shared folder and reads it again.
+
+    `few`: rows that come straight from a scan are dealt anew by size, so that a slim table is not a file for each split.
+    """
     spark, path = df.sparkSession, fresh(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.hint("rebalance") if few else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,19 +56,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def first_of_class(ids: DataFrame, class_col: str, limit: int, name: str) -> DataFrame:
-    """Of each class of `ids` (_id, class, _key), the `limit` rows that come first by (_key, _id); keys are hashes.
+def first_of_class(ids: DataFrame, class_col: str, limit: int, name: str, classes: int = 256) -> DataFrame:
+    """Of each of the `classes` most frequent classes of `ids` (_id, class, _key), the `limit` rows that come first by (_key, _id); keys are hashes.
 
     Row counts of the classes tell how low a key must be for about eight times `limit` rows, so only those reach the
     task that ranks a class, at any size of the input.  The bound is raised until no class falls short (ids that repeat
     can leave gaps), so the rows are exactly the first ones.  The counts are one row a class, as the trained models
-    are, and are broadcast for that reason.
+    are, and so few that they are broadcast.
     """
-    sizes = stored(ids.groupBy(class_col).agg(F.count("*").alias("_size")), f"{name}-sizes")
+    sizes = stored(ids.groupBy(class_col).agg(F.count("*").alias("_size")).orderBy(F.desc("_size"), class_col).limit(classes), f"{name}-sizes")
     place = F.col("_key").cast("double") / 2.0**64 + 0.5
     wide = 8.0
     while True:
-        low = stored(ids.join(F.broadcast(sizes), class_col).where(place * F.col("_size") <= wide * limit).drop("_size"), f"{name}-low")
+        low = stored(ids.join(F.broadcast(sizes), class_col).where(place * F.col("_size") <= wide * limit).drop("_size"), f"{name}-low", few=True)
         got = low.groupBy(class_col).agg(F.count("*").alias("_got"))
         if sizes.join(got, class_col, "left").where(F.coalesce("_got", F.lit(0)) < F.least("_size", F.lit(limit))).isEmpty():
             break

@@ -33,6 +33,8 @@ LENGTHS = (3, 4)
 DIM, EPOCHS, RATE, SEED = 16, 12, 4.0, 3
 #: Documents of each language that training reads at most.
 PER_LANG = 400
+#: Languages that are learned at most, the most frequent ones.
+LANGS = 256
 #: Bounds of the least probability of an accepted text, and shortfall in mean log frequency (natural) that is always granted.
 LEAST, MOST, GRANTED = 0.5, 0.8, 0.7
 
@@ -151,14 +153,14 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], accept: float) -> Model:
     return Model(langs, logits, bias, best, threshold, usual, floor, spread)
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, accept: float = 0.995, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Model of the languages of `docs` (rows with null text, language or id are not used), from `per_lang` rows each at most.
+def train(docs: DataFrame, per_lang: int = PER_LANG, langs: int = LANGS, accept: float = 0.995, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Model of the `langs` most frequent languages of `docs` (rows with null text, language or id are not used), from `per_lang` rows each at most.
 
     Rows of one id count as one in a language, with the least of their texts.
     """
     key = F.xxhash64(F.col(id_col).cast("string"))
     ids = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), key.alias("_key"))
-    ids = first_of_class(ids, "_lang", per_lang, "langid-sample")
+    ids = first_of_class(ids, "_lang", per_lang, "langid-sample", langs)
     sample = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(ids, "_id")
     sample = sample.groupBy("_key", "_lang", "_id").agg(F.min("_text").alias("_text"))
 
@@ -206,17 +208,18 @@ def accepted(model: Model, p: np.ndarray, buf: np.ndarray, offs: np.ndarray) ->
     return usual & (p[np.arange(n), top] >= model.threshold[top])
 
 
-def predictions(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """`docs` with `lang_pred`, `lang_score` and `lang_accepted` after its own columns (a clash of names raises).
+def predictions(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "lang_") -> DataFrame:
+    """`docs` with `pred`, `score` and `accepted`, each with `prefix` before it, after its own columns (a clash of names raises).
 
     Texts that are null or hold no letter are `und` with score 0 and not accepted; so are all texts if the model knows
     no language.  Whole texts count, whatever their length.
     """
-    clash = {"lang_pred", "lang_score", "lang_accepted"} & set(docs.columns)
+    names = [f"{prefix}{x}" for x in ("pred", "score", "accepted")]
+    clash = set(names) & set(docs.columns)
     if clash:
         raise ValueError(f"columns already there: {sorted(clash)}")
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_accepted", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, *map(T.StructField, names, (T.StringType(), T.DoubleType(), T.BooleanType()))])
 
     def run(batches):
         for batch in batches:

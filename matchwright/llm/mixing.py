@@ -102,9 +102,9 @@ def plan(docs: DataFrame, budget: int | None = None, share: float = 0.6, max_epo
     """The token counts of all rows, and the leaves with budget, whole epochs and cut."""
     named = leaf_of(docs)
     count = F.coalesce(F.regexp_count(docs[text_col].cast("string"), F.lit(WORDS)), F.lit(0)).cast("bigint")
-    rows = stored(docs.select(F.col(id_col), *[c.alias(k) for k, c in named.items()], count.alias("n_tokens")), "mixing-rows")
+    rows = stored(docs.select(F.col(id_col), *[c.alias(k) for k, c in named.items()], count.alias("n_tokens")), "mixing-rows", few=True)
     leaves = stored(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "mixing-leaves")
-    leaves = allocate(leaves, budget, share, max_epochs, weights)
+    leaves = stored(allocate(leaves, budget, share, max_epochs, weights), "mixing-budgets")  # of known size, so that joins with all rows broadcast it
     return rows, stored(cuts(rows, leaves, seed, id_col), "mixing-cuts")
 
 

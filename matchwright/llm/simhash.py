@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, in_batches, stored, table, unite
+from .common import components, in_batches, partitions, stored, table, unite
 from .textbytes import lower_table, mix, pieces, spans, text_buffer, word_table, xxh64
 
 #: Node pairs that a step of the trie walk expands at once.
@@ -120,7 +120,11 @@ def trie_links(v: np.ndarray, depth: int, budget: int) -> np.ndarray:
 
 
 def links(prints: DataFrame, budget: int = 3) -> DataFrame:
-    """Edges (a, b) that span the components of the distinct fingerprints (column fingerprint), linked within `budget` bits."""
+    """Edges (a, b) that span the components of the distinct fingerprints (column fingerprint), linked within `budget` bits.
+
+    A task holds the distinct fingerprints of its buckets, 8 bytes each: a bucket has those that agree in a block of 16
+    bits, about 1 in 65,536 of all.
+    """
     blocks = budget + 1
     width = 64 // blocks
     rotated = [F.when(F.lit(k == 0), F.col("fingerprint")).otherwise(F.shiftleft("fingerprint", width * k).bitwiseOR(F.shiftrightunsigned("fingerprint", 64 - width * k))) for k in range(blocks)]
@@ -157,7 +161,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, seed: in
     Null or empty texts have fingerprint zero and are linked like any other; repeated rows come back as often as they
     came; a component whose ids are all null has a null component_id; other columns of `docs` are not read.
     """
-    prints = stored(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
+    prints = stored(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints", few=True)
     return classes(prints, budget, id_col).select(id_col, "fingerprint", "component_id")
 
 
@@ -346,8 +350,10 @@ def similar(nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, shingle
     wide = relabelled(wide.withColumnRenamed("label", "was").join(labels, "id").drop("was"), edges)
     if wide.isEmpty():
         return edges.distinct()
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("label", "id"))
-    cut = stored(wide.withColumn("part", F.floor((place - 1) / BLOCK)), "parts")
+    # ranges of (bucket, label, id), so that no bucket has to fit one task; a part is a run of at most BLOCK rows of a range
+    key = ["bucket", "label", "id"]
+    cut = wide.repartitionByRange(partitions(wide.sparkSession), *key).sortWithinPartitions(*key)
+    cut = stored(cut.withColumn("part", F.floor(F.monotonically_increasing_id() / BLOCK)), "parts")
     parts = cut.groupBy("bucket", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     left, right = (parts.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("part", "lo", "hi")]) for x in "ab")
     both = left.join(right, "bucket").where("part_a <= part_b and lo_a <> hi_b").withColumn("block", F.xxhash64("part_a", "part_b"))
