@@ -37,9 +37,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths in the shared folder that this process has given out.
+_GIVEN: list[str] = []
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _GIVEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _GIVEN[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all that operators of this process have written to the shared folder; their results must have been read or written by then."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    gone = sum(hadoop(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop(p), True) for p in _GIVEN)
+    _GIVEN.clear()
+    return gone
 
 
 def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:

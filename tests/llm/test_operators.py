@@ -92,6 +92,12 @@ def test_components_of_a_chain(spark):
     assert common.components(edges.limit(0)).count() == 0
 
 
+def test_clear_deletes_what_was_stored(spark):
+    out = common.stored(spark.range(3), "clear-test")
+    (path,) = {f.rsplit("/", 1)[0] for f in out.inputFiles()}
+    assert out.count() == 3 and common.clear(spark) >= 1 and not glob.glob(path.removeprefix("file:").replace("//", "/") + "/*") and common.clear(spark) == 0
+
+
 def test_first_of_class_is_exact(spark):
     key = lambda i: xxhash.xxh64_intdigest(str(i)) - (1 << 63)
     rows = [(i, "hot" if i % 10 else f"rare{i % 3}", key(i)) for i in range(3000)] + [(7, "hot", key(7))] * 50 + [(5000, "clump", key(5000))] * 400
