@@ -176,11 +176,13 @@ def similarity_topk(s1: DataFrame, targets: DataFrame, field: str, k: int, confi
     rows = with_grams(windowed(targets, config.target_window)).select("entity_id", "candidate_source", "g").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "entity_id")
     total = queries.agg(F.coalesce(F.sum(F.size("g")), F.lit(0))).first()[0]
     blocks, near = max(1, -(-total // BROADCAST_GRAMS)), None
+    keep = written if blocks > 1 else lambda df: df  # one block is on the driver at a time, and grams are made once
+    rows = keep(rows)
     for n in range(blocks):
         own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("entity_id"), F.lit(blocks)) == n)
         block = QueryBlock.of(own.toArrow())
         if block.ids:
-            part = nearest(rows, block, limit)
+            part = keep(nearest(rows, block, limit))
             near = part if near is None else near.unionByName(part)
     if near is None:
         return similarity_topk(s1, targets, field, 0, config)

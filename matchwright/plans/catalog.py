@@ -248,10 +248,14 @@ def error_summary(spark, d):
 
 @query
 def recall_analysis(spark, d):
-    out = dg.recall_analysis(_predictions(spark, d), tb.projected_truth(spark, d), _injected(spark, d).select(*PAIR, "name_exact_match", "shared_name_token_count", "address_exact_match", "country_exact_match"), pl.all_records(*tb.sources(spark, d)))
+    out = dg.recall_analysis(_predictions(spark, d), tb.projected_truth(spark, d), _injected(spark, d).drop("name_1", "name_2", "address_1", "address_2", "country_1", "country_2"), pl.all_records(*tb.sources(spark, d)))
     json = lambda c, k: F.get_json_object(c, f"$.{k}")
-    n = "name_similarity_features"
-    return out.select("source1_entity_id", "true_entity_id", "true_source", "candidate_status", "match_probability", json(n, "name_exact_match").alias("name_exact_match"), json(n, "name_exact").alias("name_exact"), json(n, "normalized_name_s1").alias("normalized_name_s1"), json("country_features", "country_s1").alias("country_s1"))
+    keys = {
+        "name_similarity_features": ("name_exact_match", "shared_name_token_count", "name_length_difference", "name_exact", "normalized_name_s1", "normalized_name_target"),
+        "address_similarity_features": ("address_exact_match", "shared_digit_count", "address_missing_target", "address_exact", "normalized_address_s1", "address_missing_s1"),
+        "country_features": ("country_exact_match", "country_s1", "country_target", "country_exact"),
+    }
+    return out.select("source1_entity_id", "true_entity_id", "true_source", "candidate_status", "match_probability", *[json(c, k).alias(k) for c, ks in keys.items() for k in ks])
 
 
 @query
@@ -414,8 +418,8 @@ def group_split(spark, d):
 
 @query
 def forest_scores(spark, d):
-    labelled = ft.training_labels(_plain(spark, d).select(*PAIR, *ft.plain_features()), tb.projected_truth(spark, d))
-    return md.predictions_artifact(md.train_baseline(labelled, trees=20, depth=6).validation)
+    labelled = ft.training_labels(ft.pair_features(_candidates(spark, d), *tb.sources(spark, d), check=False), tb.projected_truth(spark, d))
+    return md.predictions_artifact(md.train_baseline(labelled).validation)
 
 
 @query

@@ -205,7 +205,10 @@ FINAL = {
       country_exact_match, shared_name_token_count, shared_address_token_count, shared_digit_count, name_length_difference, address_length_difference, address_missing_target, same_source_indicator FROM errors""",
     "error_summary": "SELECT t AS error_type, (SELECT count(*) FROM errors WHERE error_type = t OR secondary_error_type = t OR (t = 'ambiguous' AND ambiguity_flag = 1))::bigint AS count FROM (SELECT unnest(['true_positive', 'false_positive', 'false_negative', 'ambiguous', 'exact_match_error', 'weak_similarity_error']) AS t)",
     "recall_analysis": """SELECT t.source1_entity_id, t.true_entity_id, t.true_source, CASE WHEN p.candidate_entity_id IS NULL THEN 'CANDIDATE_MISSING' ELSE 'CANDIDATE_PRESENT' END AS candidate_status, round(p.match_probability, 6) AS match_probability,
-      f.name_exact_match::varchar AS name_exact_match, CASE WHEN f.name_exact_match IS NULL THEN (a.name = b.name AND a.name <> '')::int::varchar END AS name_exact, CASE WHEN f.name_exact_match IS NULL THEN a.name END AS normalized_name_s1, CASE WHEN f.name_exact_match IS NULL THEN a.country END AS country_s1
+      f.name_exact_match::varchar AS name_exact_match, CASE WHEN f.name_exact_match IS NULL THEN (a.name = b.name AND a.name <> '')::int::varchar END AS name_exact, CASE WHEN f.name_exact_match IS NULL THEN a.name END AS normalized_name_s1, CASE WHEN f.name_exact_match IS NULL THEN a.country END AS country_s1,
+      f.shared_name_token_count::varchar AS shared_name_token_count, f.name_length_difference::varchar AS name_length_difference, f.address_exact_match::varchar AS address_exact_match, f.shared_digit_count::varchar AS shared_digit_count, f.country_exact_match::varchar AS country_exact_match,
+      coalesce(f.address_missing_target, (b.address = '')::int)::varchar AS address_missing_target, CASE WHEN f.name_exact_match IS NULL THEN b.name END AS normalized_name_target, CASE WHEN f.name_exact_match IS NULL THEN (a.address = b.address AND a.address <> '')::int::varchar END AS address_exact,
+      CASE WHEN f.name_exact_match IS NULL THEN a.address END AS normalized_address_s1, CASE WHEN f.name_exact_match IS NULL THEN (a.address = '')::int::varchar END AS address_missing_s1, CASE WHEN f.name_exact_match IS NULL THEN b.country END AS country_target, CASE WHEN f.name_exact_match IS NULL THEN (a.country = b.country)::int::varchar END AS country_exact
       FROM pairs_true t LEFT JOIN preds p ON p.source1_entity_id = t.source1_entity_id AND p.candidate_entity_id = t.true_entity_id LEFT JOIN feats f ON f.source1_entity_id = t.source1_entity_id AND f.candidate_entity_id = t.true_entity_id
       JOIN scalar a ON a.entity_id = t.source1_entity_id JOIN scalar b ON b.entity_id = t.true_entity_id""",
     "recall_summary": """SELECT unnest(['total_ground_truth_matches', 'candidate_present_matches', 'candidate_missing_matches', 'candidate_generation_recall', 'candidate_present_above_threshold', 'candidate_present_below_threshold']) AS metric,
@@ -220,11 +223,11 @@ FINAL = {
     + ", ".join(f"(SELECT [total_ground_truth_matches::double, candidate_present, candidate_missing, candidate_recall, total_candidate_pairs, average_candidates_per_s1, median_candidates_per_s1, maximum_candidates_per_s1] FROM ({_STATS.format(c=f'cand_{k}')})) AS {v}" for k, v in ((2, "x"), (4, "y")))
     + "))",
     "truth_distribution": "SELECT matches, count(*)::bigint AS entities FROM (SELECT len(list_filter(string_split(matched_entity_ids, ','), lambda x: x <> ''))::bigint AS matches FROM truth) GROUP BY 1",
-    "truth_profile": "SELECT count(*)::bigint AS rows, count(*) FILTER (n = 0)::bigint AS empty_truth, count(*) FILTER (n = 1)::bigint AS single_truth, count(*) FILTER (n > 1)::bigint AS multiple_truth, 0::bigint AS invalid_ids FROM (SELECT len(list_filter(string_split(matched_entity_ids, ','), lambda x: x <> '')) AS n FROM truth)",
+    "truth_profile": "SELECT count(*)::bigint AS rows, count(*) FILTER (n = 0)::bigint AS empty_truth, count(*) FILTER (n = 1)::bigint AS single_truth, count(*) FILTER (n > 1)::bigint AS multiple_truth, (SELECT count(*) FROM pairs_true WHERE NOT regexp_matches(true_entity_id, '^S[23]-'))::bigint AS invalid_ids FROM (SELECT len(list_filter(string_split(matched_entity_ids, ','), lambda x: x <> '')) AS n FROM truth)",
     "source_profile": f"""SELECT *, rows - distinct_ids AS duplicate_ids, rows - distinct_names AS duplicate_names, rows - distinct_addresses AS duplicate_addresses FROM (
       SELECT src AS source, count(*)::bigint AS rows, count(*) FILTER (business_name = '')::bigint AS missing_business_name, count(*) FILTER (business_address = '')::bigint AS missing_business_address, count(*) FILTER (country = '')::bigint AS missing_country,
         count(DISTINCT entity_id)::bigint AS distinct_ids, count(DISTINCT country)::bigint AS countries, count(DISTINCT business_name)::bigint AS distinct_names, count(DISTINCT {_ascii("business_name")})::bigint AS distinct_normalized_names,
-        count(DISTINCT business_address)::bigint AS distinct_addresses, count(DISTINCT {_ascii("business_address")})::bigint AS distinct_normalized_addresses, 0::bigint AS bad_prefixes FROM proj GROUP BY 1)""",
+        count(DISTINCT business_address)::bigint AS distinct_addresses, count(DISTINCT {_ascii("business_address")})::bigint AS distinct_normalized_addresses, count(*) FILTER (NOT starts_with(entity_id, 'S'))::bigint AS bad_prefixes FROM proj GROUP BY 1)""",
     "length_stats": "SELECT src AS source, count(*)::bigint AS n, min(length(business_address))::bigint AS min_length, max(length(business_address))::bigint AS max_length, round(avg(length(business_address)), 6) AS mean_length, round(stddev_pop(length(business_address)), 6) AS std_length FROM proj GROUP BY 1",
     "country_overlap": "SELECT country, string_agg(DISTINCT src, ',' ORDER BY src) AS sources FROM proj GROUP BY 1",
     "match_coverage": "SELECT count(*) FILTER (a)::bigint AS with_s2, count(*) FILTER (b)::bigint AS with_s3, count(*) FILTER (a AND b)::bigint AS with_both, count(*) FILTER (NOT a AND NOT b)::bigint AS with_none FROM (SELECT contains(matched_entity_ids, 'S2-') AS a, contains(matched_entity_ids, 'S3-') AS b FROM truth)",
