@@ -172,7 +172,7 @@ def similarity_topk(s1: DataFrame, targets: DataFrame, field: str, k: int, confi
         hashes = F.transform(grams(F.col(field), config.ngram), lambda g: F.xxhash64("country", g))
         return df.where(F.col("country") != "").withColumn("g", F.array_distinct(hashes)).where(F.size("g") > 0)
 
-    spark, queries = s1.sparkSession, with_grams(s1.select("entity_id", "country", field)).select("entity_id", "g")
+    spark, queries = s1.sparkSession, written(with_grams(s1.select("entity_id", "country", field)).select("entity_id", "g"))
     rows = with_grams(windowed(targets, config.target_window)).select("entity_id", "candidate_source", "g").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "entity_id")
     total = queries.agg(F.coalesce(F.sum(F.size("g")), F.lit(0))).first()[0]
     blocks, near = max(1, -(-total // BROADCAST_GRAMS)), None

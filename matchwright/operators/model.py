@@ -56,7 +56,7 @@ def train_baseline(df: DataFrame, size: float = 0.2, seed: int = 42, trees: int
     """Random forest with globally balanced class weights; nulls count as 0; `depth` None is Spark's limit of 30."""
     require_columns(df, ["source1_entity_id", "label"], "labelled pairs")
     features = model_features(df)
-    df = df.na.fill(0, features).withColumn("label", F.col("label").cast("double"))
+    df = written(df.na.fill(0, features).withColumn("label", F.col("label").cast("double")))  # features are made once, not for each pass of the fit
     training, validation = group_split(df, size, seed)
     counts = {r["label"]: r["count"] for r in training.groupBy("label").count().collect()}
     if len(counts) < 2:

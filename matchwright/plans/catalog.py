@@ -45,7 +45,7 @@ def query(f):
 
 def _parts(spark, d):
     s1, s2, s3 = tb.sources(spark, d)
-    return bl.prepared(s1, "S1"), bl.stacked(s2, s3)
+    return tb.written(bl.prepared(s1, "S1")), tb.written(bl.stacked(s2, s3))
 
 
 def _candidates(spark, d, config=bl.FULL):
