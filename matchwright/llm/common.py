@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +56,29 @@ def clear(spark: SparkSession) -> int:
     return gone
 
 
+def relieved(spark: SparkSession) -> bool:
+    """Gives back to the system what the driver's JVM holds without need; whether the JVM could trim its C heap.
+
+    Hundreds of small plans leave hundreds of MB in the arenas of malloc (the compilers' and the network's, freed there and
+    kept), which no garbage collection touches; HotSpot's `System.trim_native_heap` hands them back.  The Java heap is
+    collected once more than half of what it may have is taken, since what one step leaves is garbage for the next.
+    """
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if 2 * heap.totalMemory() > heap.maxMemory():
+        jvm.java.lang.System.gc()
+    try:
+        server, of = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), jvm.java.lang.Class.forName
+        texts = gateway.new_array(jvm.java.lang.String, 0)
+        kinds, given = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+        for k, (kind, value) in enumerate((("javax.management.ObjectName", jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")), ("java.lang.String", "systemTrimNativeHeap"), ("[Ljava.lang.Object;", gateway.new_array(jvm.java.lang.Object, 0)), ("[Ljava.lang.String;", texts))):
+            kinds[k], given[k] = of(kind), value
+        of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, given)
+    except Py4JError:  # another JVM, or an older one
+        return False
+    return True
+
+
 def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Cuts the lineage: writes `df` as Parquet in the shared folder and reads it again.
 
@@ -62,6 +86,7 @@ def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """
     spark, path = df.sparkSession, fresh(df.sparkSession, name)
     (df.hint("rebalance") if few else df).write.option("compression", "zstd").parquet(path)
+    relieved(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

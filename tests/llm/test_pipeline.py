@@ -1,8 +1,10 @@
 """The stages of the pipeline one by one, each on its own input, against brute force; odd rows, clashing names, empty tables."""
 
+import gc
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -125,3 +127,27 @@ def test_sharding_stage_and_run(spark, steps, folder):
 def test_stages_of_an_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet").limit(0)
     assert all(stage(spark, docs, folder[0]).count() == 0 for _, stage in cp.STAGES)
+
+
+def test_written_steps_give_back_the_drivers_memory(spark):
+    """F pipeline: what the JVM's malloc keeps after it was freed, and the garbage of a large heap, goes after every written step."""
+    from matchwright.llm import common
+
+    def anonymous():
+        pid = spark.sparkContext._jvm.java.lang.ProcessHandle.current().pid()
+        with open(f"/proc/{pid}/smaps_rollup") as f:
+            return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read()).group(1)) / 1024
+
+    jvm = spark.sparkContext._jvm
+    kept, freed = [], []
+    for k in range(6000):  # 360 MB in the C heap; every 50th buffer stays, so that malloc keeps the others when they are freed
+        (freed if k % 50 else kept).append(jvm.java.nio.ByteBuffer.allocateDirect(60_000))
+    full = anonymous()
+    del freed
+    gc.collect()
+    time.sleep(2)
+    for _ in range(2):
+        jvm.java.lang.System.gc()
+        time.sleep(2)
+    assert common.stored(spark.range(3), "relief").count() == 3
+    assert anonymous() < full - 200 and len(kept) == 120
